@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe",)
+_MODULES = ("bpe", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
