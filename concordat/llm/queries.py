@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "decontaminate")
+_MODULES = ("decontaminate", "secrets", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
