@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("decontaminate", "secrets", "chat", "bpe")
+_MODULES = ("decontaminate", "secrets", "chat", "bpe", "langid")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
