@@ -184,3 +184,29 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = seen
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
+
+
+# --- sorted groups in a stream --------------------------------------------------------------
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Groups of equal first `keys` columns (integers without nulls) from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(change).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            key = tuple(c[a] for c in columns)
+            if held and key != now:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard", "decontaminate", "secrets", "chat", "bpe", "langid")
+_MODULES = ("jaccard", "decontaminate", "embeddings", "secrets", "chat", "bpe", "langid")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
