@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard", "decontaminate", "embeddings", "secrets", "chat", "bpe", "langid", "lines", "chunks")
+_MODULES = ("jaccard", "decontaminate", "embeddings", "secrets", "chat", "bpe", "langid", "lines", "chunks", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
