@@ -75,6 +75,16 @@ def long_runs(mark: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int,
     return [(int(begin[x]), int(end[y - 1]), np.arange(x, y)) for x, y in zip(a, b) if end[y - 1] - begin[x] >= least]
 
 
+def main_sources(source: np.ndarray, size: np.ndarray, least: int) -> list[int]:
+    """Of a run's chunks, the documents that hold half of `least` bytes of it, or else the most:
+    a few bytes also occur elsewhere by chance."""
+    names, which = np.unique(source[source != -1], return_inverse=True)
+    if not len(names):
+        return []
+    held = np.bincount(which, size[source != -1])
+    return names[held >= min(least / 2, held.max())].tolist()
+
+
 _ADDED = ("n_chunks", "repeated", "removed", "sources")
 
 
@@ -115,7 +125,7 @@ def dedup_substrings(df: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
                 count.append(len(end))
                 repeated.append([{"start": a, "end": b} for a, b, _ in long_runs(elsewhere, end, least)])
                 removed.append([{"start": a, "end": b} for a, b, _ in gone])
-                sources.append(sorted({int(x) for _, _, i in gone for x in source[i] if x != -1}))
+                sources.append(sorted({x for _, _, i in gone for x in main_sources(source[i], np.diff(end, prepend=0)[i], least)}))
             columns = list(batch.columns[: len(keep)])
             columns[at_text] = pa.array(texts, columns[at_text].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(repeated, span), pa.array(removed, span), pa.array(sources, pa.list_(pa.int64()))], names=[*keep, *_ADDED])

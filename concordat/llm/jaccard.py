@@ -67,10 +67,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
             np.not_equal(x[1:], x[:-1], out=keep[1:])
             out.append(x[keep])
         elif b > a:
-            v = _U(b - a)
+            v = np.array([b - a], _U)
             for w in h[a:b]:
-                v = mix64(np.array([v * _U(0x9E3779B97F4A7C15) + w]))[0]
-            out.append(np.array([v], _U))
+                v = mix64(v * _U(0x9E3779B97F4A7C15) + w)
+            out.append(v)
         else:
             out.append(np.zeros(0, _U))
     return out
