@@ -30,7 +30,7 @@ from concordat.session import read_table
 NAME = "op6_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices a worker remembers before it starts afresh.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 120_000
 
 # Symbols: letter, number, other, apostrophe before one or two letters of a contraction, white
 # space not before visible text, a space before it, other white space before it, padding.
@@ -143,7 +143,7 @@ class Coder:
         self.origin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.names = [str(i) for i in range(size)]
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the pair of lowest rank is merged first, the leftmost on ties."""
@@ -207,15 +207,19 @@ class Coder:
         pos = np.arange(len(data)) - np.repeat(starts, length)
         h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[pos], starts)
         _, where, inverse = np.unique(mix64(h + length.astype(np.uint64)), return_index=True, return_inverse=True)
-        raw, cache = data.tobytes(), self.cache
+        raw, cache, ranks = data.tobytes(), self.cache, self.ranks
         if len(cache) > CACHE_SLICES:
             cache.clear()
         ids: list[int] = []
         count = np.empty(len(where), np.int64)
         for k, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist(), strict=True)):
             piece = raw[a:b]
+            if (whole := ranks.get(piece)) is not None:
+                ids.append(whole)
+                count[k] = 1
+                continue
             if (got := cache.get(piece)) is None:
-                got = cache[piece] = self.merge(piece)
+                got = cache[piece] = tuple(self.merge(piece))
             ids += got
             count[k] = len(got)
         each = count[inverse]

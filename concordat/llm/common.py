@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from concordat.session import shared_dir
 
 #: Bytes of text worked on at once.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 # --- written tables -------------------------------------------------------------------------
@@ -65,6 +65,7 @@ def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int
         end = min(max(end, row + 1), len(column))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -178,6 +178,24 @@ def fit(figures: np.ndarray, words: list[np.ndarray], low: np.ndarray, toxic: np
     return e
 
 
+def frequent(column: pa.ChunkedArray, buckets: int = 1 << 20, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a list column whose bucket has LEAST_ROWS of them (a superset of those that
+    do themselves), and where each row begins: most hashes are rare and needn't be sorted."""
+    parts = [(c.flatten().to_numpy().view(np.uint64), c.value_lengths().to_numpy()) for c in column.chunks]
+    mask = np.uint64(buckets - 1)
+    total = np.zeros(buckets, np.int64)
+    for values, _ in parts:
+        for a in range(0, len(values), step):
+            total += np.bincount((values[a : a + step] & mask).astype(np.int64), minlength=buckets)
+    enough = total >= LEAST_ROWS
+    kept, sizes = [], []
+    for values, length in parts:
+        hit = np.concatenate([enough[(values[a : a + step] & mask).astype(np.int64)] for a in range(0, max(1, len(values)), step)])
+        kept.append(values[hit])
+        sizes.append(per_row(hit, np.concatenate([[0], np.cumsum(length)])))
+    return np.concatenate(kept), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evidence:
     """Evidence from labels (doc_id, quality, toxic) of documents (doc_id, text)."""
     few = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic").orderBy(F.xxhash64(F.lit("label"), "doc_id"), "doc_id", "quality", "toxic").limit(most)
@@ -200,8 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
     table = rows.mapInArrow(run, "figures array<double>, words array<long>, low int, toxic int").toArrow()
     if not table.num_rows:
         return Evidence()
-    words = table.column("words").combine_chunks()
-    flat, cut = words.flatten().to_numpy().astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+    flat, cut = frequent(table.column("words"))
     figures = table.column("figures").combine_chunks().flatten().to_numpy().reshape(-1, FIGURES)
     # rows come in any order; the fit must not depend on it
     order = np.lexsort((*figures.T, cut[1:] - cut[:-1]))
