@@ -33,7 +33,7 @@ def section_headings(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     levels, so the walk up is a handful of joins that ends when no node climbs further."""
     own = spans.groupBy("document_id", "node_id").agg(F.min_by("search_text", "reading_order").alias("heading"))
     up = nodes.select("document_id", F.col("node_id").alias("at"), F.col("parent_id").alias("above"), (F.col("kind") == "section").alias("is_section"))
-    up = up.join(own.withColumnRenamed("node_id", "at"), ["document_id", "at"], "left").withColumn("heading", F.when("is_section", F.col("heading"))).drop("is_section")
+    up = up.join(own.withColumnRenamed("node_id", "at"), ["document_id", "at"], "left").withColumn("heading", F.when(F.col("is_section"), F.col("heading"))).drop("is_section")
     found = nodes.select("document_id", "node_id", F.col("parent_id").alias("at"))
     out = None
     for _ in range(8):  # sections nest at most six deep, under a document, over a table or list
