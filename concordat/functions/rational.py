@@ -22,7 +22,9 @@ def reduced(num: Column | str, den: Column | str) -> Column:
     n, d = _col(num).cast("long"), _col(den).cast("long")
     g = gcd(n, d)
     sign = F.when(d < 0, F.lit(-1)).otherwise(F.lit(1))
-    return F.when(d != 0, F.struct((F.try_divide(n, g).cast("long") * sign).alias("num"), (F.try_divide(d, g).cast("long") * sign).alias("den")))
+    # division of decimals: doubles would round what is over 2^53
+    part = lambda x: (F.try_divide(x.cast("decimal(20,0)"), g.cast("decimal(20,0)"))).cast("long") * sign
+    return F.when(d != 0, F.struct(part(n).alias("num"), part(d).alias("den")))
 
 
 def ratio(part: Column | str, whole: Column | str) -> Column:
