@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concordat.session import ship
+
 # The increment and finaliser of the split-mix generator, 64-bit arithmetic.
 GOLDEN = 0x9E3779B97F4A7C15
 FIRST_FACTOR = 0xBF58476D1CE4E5B9
@@ -31,4 +33,5 @@ def _seeds(base: pd.Series, attempt: pd.Series) -> pd.Series:
 
 def seed(base: Column | str, attempt: Column | str) -> Column:
     """Unsigned 64-bit, so a decimal: a BIGINT multiplication would overflow."""
+    ship(SparkSession.active())
     return _seeds(base, attempt)

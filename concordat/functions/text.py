@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concordat.session import ship
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that is folded to single spaces, as a character class.
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -30,6 +32,7 @@ def raw_source(c: Column | str) -> Column:
 
 
 def source_nfkc(c: Column | str) -> Column:
+    ship(SparkSession.active())
     return nfkc(_col(c))
 
 

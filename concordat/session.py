@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,31 @@ def table(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table(sf_dir, name))
+
+
+# --- Python on the executors -----------------------------------------------------------------
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable by Python workers: once per application Spark hands them a
+    zip of it, unless the environment that they inherit already has it on its path."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    if str(root.parent) in (os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return
+    path = Path(tempfile.mkdtemp(prefix="concordat-")) / "concordat.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with the package at hand; for DataFrame.transform()."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.session import in_arrow
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: What a start tag closes if it is the open element.
@@ -281,7 +283,7 @@ def extract(docs: DataFrame, root: str | None = None) -> DataFrame:
                     held = []
             yield pa.RecordBatch.from_pylist(held, _FLAT)
 
-    return docs.select("document_id", "html").mapInArrow(run, _FLAT_DDL)
+    return docs.select("document_id", "html").transform(in_arrow, run, _FLAT_DDL)
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
