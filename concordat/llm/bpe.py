@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from concordat.llm.common import GROUP_BYTES, list_column, mix64, text_groups, _powers
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op6_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -268,7 +268,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
                 part = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*part, list_column(flat, count, pa.int32()), list_column(stop, count, pa.int32())], names=[*keep, ids, ends])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).transform(in_arrow, run, schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -286,7 +286,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
             got = [None if x is None else c.decode_group(np.asarray(x, np.int64)) for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*keep, out])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).transform(in_arrow, run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -310,7 +310,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(in_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

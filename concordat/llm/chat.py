@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.common import written
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op5_chat_format"
 #: Turns of a piece.
@@ -160,7 +160,7 @@ def pieces(conversations: DataFrame, template: Template = marked_turns, piece: i
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
 
-    return ordered.mapInArrow(run, _PIECES)
+    return ordered.transform(in_arrow, run, _PIECES)
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -212,7 +212,7 @@ def summaries(found: DataFrame) -> DataFrame:
         if done:
             yield batch_of()
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.transform(in_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

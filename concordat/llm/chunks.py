@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm.common import _powers, mix64
 from concordat.llm.repeats import masks, repeated_units
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op9_substring_dedup"
 #: Mean bytes of a chunk, and least bytes of a repeated run.
@@ -134,7 +134,7 @@ def dedup_substrings(df: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
 
     kind = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     schema = df.select(*keep).schema.add("n_chunks", "long").add("repeated", kind).add("removed", kind).add("sources", T.ArrayType(T.LongType()))
-    return joined.mapInArrow(run, schema)
+    return joined.transform(in_arrow, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

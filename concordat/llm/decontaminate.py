@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_words, text_groups
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op2_decontaminate"
 WINDOW = 13
@@ -291,7 +291,7 @@ def _pass(df: DataFrame, w, text: str) -> DataFrame:
                 part = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "item_ids"])
 
-    return df.select(*keep, *(("n_words", "spans", "item_ids") if before else ())).mapInArrow(run, schema)
+    return df.select(*keep, *(("n_words", "spans", "item_ids") if before else ())).transform(in_arrow, run, schema)
 
 
 def merge_spans(spans: list[dict]) -> list[dict]:

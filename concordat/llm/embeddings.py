@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import components, drop_written, grouped, mix64, written
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op3_embedding_near_dedup"
 COSINE = 0.98
@@ -90,7 +90,7 @@ def descriptions(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
                 assert len(lists) == n
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(3), tops, lists, lasts], names=["rep", "mult", "x", "top", "lists", "lasts"])
 
-    return vectors.select("rep", "label", "dim", "x", "mult").mapInArrow(run, "rep long, mult long, x array<float>, top array<int>, lists array<long>, lasts array<int>")
+    return vectors.select("rep", "label", "dim", "x", "mult").transform(in_arrow, run, "rep long, mult long, x array<float>, top array<int>, lists array<long>, lasts array<int>")
 
 
 def local_components(linked: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def near_duplicates(df: DataFrame, least: float = COSINE, vec_id: str = "vec_id"
                 yield out()
         yield out()
 
-    found = ordered.mapInArrow(run, "v long, links long, other long").groupBy("v", "other").agg(F.sum("links").alias("links"))
+    found = ordered.transform(in_arrow, run, "v long, links long, other long").groupBy("v", "other").agg(F.sum("links").alias("links"))
     found, found_path = written(found, "found")
     comp = components(found.select(F.col("v").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("v").agg(F.sum("links").alias("linked"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import ASCII_LOWER, SPACED_WORD, byte_words, components, drop_written, list_column, mix64, text_groups, written
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op1_ngram_jaccard"
 SHINGLE = 5
@@ -153,7 +153,7 @@ def features(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] =
                     names=["doc_id", "n", "d1", "d2", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, _FEATURES)
+    return docs.transform(in_arrow, run, _FEATURES)
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -178,7 +178,7 @@ def near_enough(pairs: DataFrame, meta: DataFrame, similarity: tuple[int, int])
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").transform(in_arrow, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int
                 sets = shingle_sets(data, offsets, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([u.tobytes() for u in sets], pa.binary())], names=["doc_id", "s"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle, "doc_id long, s binary")
+    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").transform(in_arrow, shingle, "doc_id long, s binary")
     sets = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").dropDuplicates(["doc_id", "s"])
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "sa", "sb").transform(in_arrow, run, "a long, b long").distinct()
 
 
 # --- pairs within keys ----------------------------------------------------------------------
@@ -275,7 +275,7 @@ def block_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             found.update(compare(group))
         yield out()
 
-    return ordered.select("key", "lo", "hi", "blk", "doc_id", "comp", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("key", "lo", "hi", "blk", "doc_id", "comp", "n", "sketch").transform(in_arrow, run, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

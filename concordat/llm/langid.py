@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import text_groups
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op7_language_id"
 LANGUAGES, DOCUMENTS, SAMPLE_CHARS, SYMBOLS = 64, 64, 4000, 40_000
@@ -197,7 +197,7 @@ def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "t
                 names, score = m.predict(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).transform(in_arrow, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

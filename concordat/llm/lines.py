@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm.common import mix64
 from concordat.llm.repeats import masks, repeated_units
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op8_line_dedup"
 WINDOW = 3
@@ -98,7 +98,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
 
     schema = df.select(*keep).schema.add("n_lines", "long").add("n_removed", "long")
-    return joined.mapInArrow(run, schema)
+    return joined.transform(in_arrow, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_table, byte_words, list_column, mix64, text_groups, written
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op10_quality"
 MOST_LABELLED, MOST_WORDS, LEAST_ROWS, BINS = 8192, 6000, 5, 12
@@ -215,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
                 )
 
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") != 0).cast("int").alias("toxic"))
-    table = rows.mapInArrow(run, "figures array<double>, words array<long>, low int, toxic int").toArrow()
+    table = rows.transform(in_arrow, run, "figures array<double>, words array<long>, low int, toxic int").toArrow()
     if not table.num_rows:
         return Evidence()
     flat, cut = frequent(table.column("words"))
@@ -240,7 +240,7 @@ def with_evidence(df: DataFrame, evidence: Evidence, text: str = "text") -> Data
                 p = e.chances(*describe(data, offsets))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((1 - p[:, 0]) * (1 - p[:, 1]))], names=[*keep, *added])
 
-    return df.select(*keep).mapInArrow(run, df.select(*keep).schema.add("p_low", "double").add("p_toxic", "double").add("p_doc", "double"))
+    return df.select(*keep).transform(in_arrow, run, df.select(*keep).schema.add("p_low", "double").add("p_toxic", "double").add("p_doc", "double"))
 
 
 # --- sites ----------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import list_column, text_groups, written
+from concordat.session import in_arrow
 
 #: Digests of a text's units in order, one array per digest.
 Units = Callable[[bytes], tuple[np.ndarray, ...]]
@@ -37,7 +38,7 @@ def distinct_units(docs: DataFrame, units: Units, digests: int) -> DataFrame:
                 columns = [list_column(np.concatenate([f[k] for f in found]).view(np.int64), count, pa.int64()) for k in range(digests)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["doc_id", *names])
 
-    listed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} array<long>" for n in names))
+    listed = docs.where("doc_id is not null").select("doc_id", "text").transform(in_arrow, run, "doc_id long, " + ", ".join(f"{n} array<long>" for n in names))
     if digests == 1:
         return listed.select("doc_id", F.explode("h1").alias("h1"))
     return listed.select("doc_id", F.explode(F.arrays_zip(*names)).alias("h")).select("doc_id", *[F.col(f"h.{n}").alias(n) for n in names])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.llm.common import ASCII_LOWER, byte_table, text_groups
-from concordat.session import read_table
+from concordat.session import in_arrow, read_table
 
 NAME = "op4_secret_scan"
 KINDS = ("assign", "access", "hex", "token", "key", "pem")
@@ -253,7 +253,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
                 spans = [[{"kind": k, "start": s, "end": e} for k, s, e in found.get(r, ())] for r in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(spans, _KIND)], names=[*keep, out])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).transform(in_arrow, run, schema)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[REDACTED]") -> DataFrame:
