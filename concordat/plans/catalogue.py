@@ -46,7 +46,7 @@ def line_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eligible_pairs(spark, sf):
-    return pairs.numbered(pairs.eligible_pairs(order_rules(spark, sf)))
+    return pairs.numbered(pairs.eligible_pairs(order_rules(spark, sf))).withColumn("n", F.col("n").cast("long"))
 
 
 @query

@@ -16,7 +16,7 @@ def _empty(lo: str, hi: str) -> str:
 
 
 ORACLES["eligible_pairs"] = f"SELECT group_id, action_key, a_id, b_id, row_number() OVER (PARTITION BY group_id ORDER BY a_id, b_id) AS n FROM ({_PAIRS})"
-ORACLES["interval_fold"] = f"SELECT id, quantity, coalesce(lo.v, -1) AS lo_value, coalesce(lo.f, -1) AS lo_open, coalesce(hi.v, -1) AS hi_value, coalesce(hi.f, -1) AS hi_closed, {_empty('lo', 'hi')} AS is_empty FROM ({_FOLD})"
+ORACLES["interval_fold"] = f"SELECT id, quantity, coalesce(lo.v, -1) AS lo_value, CAST(coalesce(lo.f, -1) AS BIGINT) AS lo_open, coalesce(hi.v, -1) AS hi_value, CAST(coalesce(hi.f, -1) AS BIGINT) AS hi_closed, {_empty('lo', 'hi')} AS is_empty FROM ({_FOLD})"
 ORACLES["interval_overlap"] = f"""
 WITH f AS (SELECT f.*, o_custkey FROM ({_FOLD}) f JOIN orders ON o_orderkey = id),
 p AS (SELECT a.id AS a_id, b.id AS b_id, a.quantity,
@@ -112,12 +112,12 @@ SELECT doc_id, sha256(translate(translate(trim(regexp_replace(text, '{_WHITE}',
   CASE WHEN regexp_full_match(source, '[a-z0-9_:./-]+') THEN source END AS source_id, strlen(text) AS n_bytes FROM documents"""
 ORACLES["text_spans"] = r"""
 WITH w AS (SELECT doc_id, regexp_extract(text, '^[^ \t\n\x0B\f\r]*') AS w FROM documents)
-SELECT doc_id, 0 AS start, strlen(w) AS "end", w AS quoted, 'sha256:' || sha256(w) AS text_hash FROM w"""
+SELECT doc_id, CAST(0 AS BIGINT) AS start, strlen(w) AS "end", w AS quoted, 'sha256:' || sha256(w) AS text_hash FROM w"""
 ORACLES["nearest_preceding"] = """
 SELECT conv_id, turn, coalesce(user_turn, -1) AS user_turn FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations) WHERE role = 'assistant'"""
 ORACLES["trace_closure"] = """
 WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations),
-r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM t AS a WHERE NOT EXISTS (SELECT 1 FROM t AS b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)
+r AS (SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth FROM t AS a WHERE NOT EXISTS (SELECT 1 FROM t AS b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)
   UNION ALL SELECT t.conv_id, t.turn, r.root, r.depth + 1 FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1)
 SELECT * FROM r"""
 ORACLES["registry_chain"] = """
@@ -145,7 +145,7 @@ WITH o AS (SELECT sha256(o_orderkey || '|' || o_orderstatus) AS hash, * FROM ord
 SELECT hash, 'left' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT hash, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)"""
 ORACLES["severity_fold"] = """
 WITH m AS (SELECT user_id, max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 5 END) AS rank FROM events GROUP BY 1)
-SELECT user_id, rank, ['ok', 'residual', 'ambiguity', 'unsupported', 'incoherence', 'invalid'][rank + 1] AS outcome FROM m"""
+SELECT user_id, CAST(rank AS BIGINT) AS rank, ['ok', 'residual', 'ambiguity', 'unsupported', 'incoherence', 'invalid'][rank + 1] AS outcome FROM m"""
 _METRICS = """
 WITH e AS (SELECT event_type AS route, count(*) AS n, count(*) FILTER (value > 50) AS high, count(*) FILTER (value <= 0) AS none, count(DISTINCT user_id) AS users FROM events GROUP BY 1),
 m AS (SELECT route, 'acceptance_rate' AS metric, high AS a, n AS b FROM e UNION ALL SELECT route, 'recorded_call_count', n, 1 FROM e UNION ALL SELECT route, 'schema_valid_rate', n - none, n FROM e
