@@ -53,7 +53,7 @@ def array_of(items: Column | str) -> Column:
 
 def set_of(items: Column | str) -> Column:
     """An array of rendered items in byte order, each once."""
-    return array_of(F.array_sort(F.array_distinct(_col(items))))
+    return array_of(F.sort_array(F.array_distinct(_col(items))))
 
 
 def tagged(tag: str, value: Column) -> Column:

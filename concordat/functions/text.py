@@ -96,7 +96,7 @@ def sha256(c: Column | str) -> Column:
 
 def set_hash(hashes: Column | str) -> Column:
     """Of an array: sorted, each once, one to a line."""
-    return sha256(F.array_join(F.array_sort(F.array_distinct(_col(hashes))), "\n"))
+    return sha256(F.array_join(F.sort_array(F.array_distinct(_col(hashes))), "\n"))
 
 
 def hex_text(c: Column | str) -> Column:

@@ -17,4 +17,4 @@ def clone_exceptions(statements: DataFrame, exceptions: DataFrame, document: str
 def expand(atoms: str, exceptions: str):
     """Condition atoms with exceptions as negated atoms: sorted, each once."""
     negated = F.transform(exceptions, lambda x: F.concat(F.lit("not "), x))
-    return F.array_sort(F.array_distinct(F.concat(atoms, negated)))
+    return F.sort_array(F.array_distinct(F.concat(atoms, negated)))

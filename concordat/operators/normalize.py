@@ -149,7 +149,7 @@ def rules(stmts: DataFrame, exc: DataFrame, lexicon: Lexicon) -> DataFrame:
     own = exc.groupBy("document_id", "statement_id").agg(F.sort_array(F.collect_list("exception_id")).alias("exception_refs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("barred"), F.flatten(F.collect_list("region_ids")).alias("more"))
     s = stmts.join(own, ["document_id", "statement_id"], "left")
     atoms = F.concat(F.transform(F.concat("population", "condition"), lambda x: lowered(x, lexicon)), F.transform(F.coalesce("barred", _none()), lambda x: concept_atom(x, True)))
-    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(atoms), lambda a: F.struct(atom_json(a).alias("j"), a.alias("a")))), lambda x: x["a"])
+    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(atoms), lambda a: F.struct(atom_json(a).alias("j"), a.alias("a")))), lambda x: x["a"])
     return s.select(
         "document_id", F.concat("document_id", F.lit(".rule."), F.col("k")).alias("rule_id"), "k", "statement_id", "segment_id", F.array(ordered).alias("context"), "direction", "strength", "certainty",
         "action_kind", "action_target", "action_key", F.sort_array(F.array_distinct(F.concat("region_ids", F.coalesce("more", _none())))).alias("source_region_ids"), F.coalesce("exception_refs", _none()).alias("exception_refs"),

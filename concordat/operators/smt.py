@@ -21,8 +21,10 @@ def numeral(n: Column | str) -> Column:
 
 
 def _joined(op: str, terms: Column, empty: str) -> Column:
-    """Terms under an operator; one alone stands bare, none is `empty`."""
-    return F.when(F.size(terms) == 0, F.lit(empty)).when(F.size(terms) == 1, terms[0]).otherwise(F.concat(F.lit(f"({op} "), F.array_join(terms, " "), F.lit(")")))
+    """Terms under an operator; one alone stands bare, none is `empty`. The terms are bound to a
+    variable, or every use would compute them anew, at every level of nesting."""
+    text = lambda t: F.when(F.size(t) == 0, F.lit(empty)).when(F.size(t) == 1, F.try_element_at(t, F.lit(1))).otherwise(F.concat(F.lit(f"({op} "), F.array_join(t, " "), F.lit(")")))
+    return F.transform(F.array(terms), text)[0]
 
 
 def conjunction(terms: Column | str) -> Column:
@@ -56,7 +58,7 @@ def declarations(contexts: list[Column]) -> Column:
     """Declared symbols of some contexts, by name: concepts are Bool, quantities Real."""
     atoms = F.flatten(F.concat(*contexts))
     named = F.transform(atoms, lambda a: F.struct(F.coalesce(a["concept"], a["var"]).alias("s"), F.when(a["concept"].isNotNull(), "Bool").otherwise("Real").alias("t")))
-    return F.transform(F.array_sort(F.array_distinct(named)), lambda d: F.concat(F.lit("(declare-const "), symbol(d["s"]), F.lit(" "), d["t"], F.lit(")")))
+    return F.transform(F.sort_array(F.array_distinct(named)), lambda d: F.concat(F.lit("(declare-const "), symbol(d["s"]), F.lit(" "), d["t"], F.lit(")")))
 
 
 def named_assertion(term: Column, name: Column) -> Column:
@@ -100,7 +102,7 @@ def unsat_core(stdout: Column | str) -> Column:
     """Sorted names of a flat core listing, or null without one."""
     flat = F.regexp_extract(_col(stdout), r"\Aunsat\r?\n\s*\(([^()]*)\)", 1)
     names = F.regexp_extract_all(flat, F.lit(r"\|([^|]*)\||([^\s|]+)"), F.lit(0))
-    return F.when(flat != "", F.array_sort(F.array_distinct(F.transform(names, lambda n: F.replace(n, F.lit("|"), F.lit(""))))))
+    return F.when(flat != "", F.sort_array(F.array_distinct(F.transform(names, lambda n: F.replace(n, F.lit("|"), F.lit(""))))))
 
 
 def surface_markers(body: Column | str) -> Column:

@@ -63,8 +63,8 @@ def assertion_map(found: DataFrame) -> DataFrame:
 
 def results(found: DataFrame) -> DataFrame:
     """Results in order of pair and query: the second query only where contexts overlap."""
-    q1 = F.struct(F.col("q1_id").alias("query_id"), F.lit("overlap").alias("role"), F.lit("semantic_no_conflict").alias("category"), F.when(F.col("overlap"), "sat").otherwise("unsat").alias("verdict"), F.when(~F.col("overlap"), F.array_sort(F.array(F.concat(F.lit("ctx."), F.col("a_id")), F.concat(F.lit("ctx."), F.col("b_id"))))).alias("core"))
-    core = F.array_sort(F.array(F.concat(F.lit("a."), F.col("a_id")), F.concat(F.lit("a."), F.col("b_id"))))
+    q1 = F.struct(F.col("q1_id").alias("query_id"), F.lit("overlap").alias("role"), F.lit("semantic_no_conflict").alias("category"), F.when(F.col("overlap"), "sat").otherwise("unsat").alias("verdict"), F.when(~F.col("overlap"), F.sort_array(F.array(F.concat(F.lit("ctx."), F.col("a_id")), F.concat(F.lit("ctx."), F.col("b_id"))))).alias("core"))
+    core = F.sort_array(F.array(F.concat(F.lit("a."), F.col("a_id")), F.concat(F.lit("a."), F.col("b_id"))))
     q2 = F.when(F.col("overlap"), F.struct(F.col("q2_id").alias("query_id"), F.lit("deontic").alias("role"), F.lit("semantic_contradiction").alias("category"), F.lit("unsat").alias("verdict"), core.alias("core")))
     rows = found.select("group_id", "n", F.posexplode(F.array_compact(F.array(q1, q2))).alias("place", "r"))
     from concordat.operators.sets import counted
@@ -109,7 +109,7 @@ def group_outcomes(results: DataFrame, reference: DataFrame) -> DataFrame:
         F.max(F.when(contra, F.col("core"))).alias("core"), F.count_if((F.col("role") == "overlap") & (F.col("verdict") == "unsat")).alias("closed"),
     )
     j = reference.join(per, "group_id", "left")
-    hit = F.when(F.col("expected_outcome") == "semantic_contradiction", (F.col("n_contra") == 1) & (F.col("n_deontic") == 1) & (F.col("core") == F.array_sort(F.array_distinct("expected_unsat_core")))).when(
+    hit = F.when(F.col("expected_outcome") == "semantic_contradiction", (F.col("n_contra") == 1) & (F.col("n_deontic") == 1) & (F.col("core") == F.sort_array(F.array_distinct("expected_unsat_core")))).when(
         F.col("expected_outcome") == "semantic_no_conflict", (F.col("n") > 0) & (F.col("n") == F.col("n_none")) & (~F.coalesce("expected_no_conflict_result", F.lit(False)) | (F.col("closed") >= 1))
     )
     return j.select("group_id", "expected_outcome", F.coalesce(hit, F.lit(False)).alias("matched"))

@@ -108,7 +108,7 @@ def concept_disjoint(spark, sf):
     lines = read_table(spark, sf, "lineitem")
     flag = lambda status: F.sort_array(F.collect_set(F.when(F.col("l_linestatus") == status, F.col("l_returnflag"))))
     per = lines.groupBy("l_orderkey").agg(flag("O").alias("need"), flag("F").alias("bar"))
-    return per.select("l_orderkey", F.array_join("need", ",").alias("need"), F.array_join("bar", ",").alias("bar"), F.array_join(F.array_sort(F.array_union("need", "bar")), ",").alias("both"), (~F.arrays_overlap("need", "bar")).alias("disjoint"))
+    return per.select("l_orderkey", F.array_join("need", ",").alias("need"), F.array_join("bar", ",").alias("bar"), F.array_join(F.sort_array(F.array_union("need", "bar")), ",").alias("both"), (~F.arrays_overlap("need", "bar")).alias("disjoint"))
 
 
 def table_kb(spark: SparkSession, sf: str) -> kb.Kb:
