@@ -16,7 +16,8 @@ above 0.99 in the tests, on pairs that lie at the threshold.
 
 Vectors link only with the same label (not null) and the same length. Null or zero vectors, and
 those with null or non-finite components, link with nothing. Rows with a null vec_id don't link.
-Repeated rows count as other vectors of the same id. An empty table gives no rows.
+Rows that repeat a vec_id are vectors of their own, identical or not, and the smallest id of a
+component counts once. Vectors are told apart by 64-bit hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def descriptions(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
                 assert len(lists) == n
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(3), tops, lists, lasts], names=["rep", "mult", "x", "top", "lists", "lasts"])
 
-    return vectors.select("rep", "label", "dim", "x", "mult").transform(in_arrow, run, "rep long, mult long, x array<float>, top array<int>, lists array<long>, lasts array<int>")
+    return vectors.select("rep", "label", "dim", "x", "mult").transform(in_arrow, run, f"rep long, mult long, x {dict(vectors.dtypes)['x']}, top array<int>, lists array<long>, lasts array<int>")
 
 
 def local_components(linked: np.ndarray) -> np.ndarray:
@@ -137,12 +138,13 @@ def near_duplicates(df: DataFrame, least: float = COSINE, vec_id: str = "vec_id"
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
     reachable) and kept."""
     spark = df.sparkSession
-    given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>").alias("x"))
+    kind = "array<double>" if dict(df.dtypes)[embedding] == "array<double>" else "array<float>"
+    given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast(kind).alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fine = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = given.withColumn("fine", fine).withColumns({"dim": F.when(F.col("fine"), F.size("x")), "h1": F.when(F.col("fine"), F.xxhash64("x")), "h2": F.when(F.col("fine"), F.xxhash64(F.lit("second"), "x"))})
     key = ["label", "dim", "h1", "h2"]
-    one = rows.where("fine").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("x", "vec_id").alias("x"))
+    one = rows.where("fine").groupBy(*key).agg(F.min("vec_id").alias("lowest"), F.count("*").alias("mult"), F.min_by("x", "vec_id").alias("x")).withColumn("rep", F.xxhash64(F.lit("vector"), *key))
     one, one_path = written(one, "vectors")
 
     pivots = {}
@@ -185,13 +187,14 @@ def near_duplicates(df: DataFrame, least: float = COSINE, vec_id: str = "vec_id"
     found, found_path = written(found, "found")
     comp = components(found.select(F.col("v").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("v").agg(F.sum("links").alias("linked"))
-    per_rep = (
-        one.select(*key, F.col("rep"), "mult")
-        .join(counts, F.col("rep") == counts["v"], "left")
-        .drop("v")
-        .join(comp, F.col("rep") == comp["v"], "left")
-        .select(*key, (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+    member = (
+        one.select(*key, "rep", "lowest", "mult")
+        .join(counts.withColumnRenamed("v", "rep"), "rep", "left")
+        .join(comp.withColumnRenamed("v", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
     )
+    smallest = member.groupBy("component").agg(F.min("lowest").alias("c"))
+    per_rep = member.join(smallest, "component").select(*key, (F.col("mult") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), "c")
     out = rows.select("vec_id", *key).join(per_rep, key, "left").select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     drop_written(spark, described_path)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -137,6 +137,8 @@ def test_embeddings_against_brute_force(spark, monkeypatch, block):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
     assert got == brute_vectors(rows)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    again = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (5, [0.0, 1.0], 1), (6, [0.0, 1.0], 1), (5, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(again).collect()) == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 1, 5, False)]
 
 
 def test_pivot_recall_at_the_threshold():
