@@ -28,13 +28,13 @@ def spans_with_text(spans: DataFrame) -> DataFrame:
     )
 
 
-def section_headings(nodes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per node the heading of its nearest section above that has text. Documents nest a few
-    levels, so the walk up is a handful of joins that ends when no node climbs further."""
+def section_headings(nodes: DataFrame, spans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted node the heading of its nearest section above that has text. Documents nest a few
+    levels, so the walk up is a handful of joins over what still climbs."""
     own = spans.groupBy("document_id", "node_id").agg(F.min_by("search_text", "reading_order").alias("heading"))
     up = nodes.select("document_id", F.col("node_id").alias("at"), F.col("parent_id").alias("above"), (F.col("kind") == "section").alias("is_section"))
     up = up.join(own.withColumnRenamed("node_id", "at"), ["document_id", "at"], "left").withColumn("heading", F.when(F.col("is_section"), F.col("heading"))).drop("is_section")
-    found = nodes.select("document_id", "node_id", F.col("parent_id").alias("at"))
+    found = wanted.select("document_id", "node_id", F.col("parent_id").alias("at"))
     out = None
     for _ in range(8):  # sections nest at most six deep, under a document, over a table or list
         step = found.join(up, ["document_id", "at"], "left")
@@ -66,7 +66,7 @@ def segments(nodes: DataFrame, spans: DataFrame, regions: DataFrame) -> tuple[Da
     )
     single = s.where("kind <> 'cell'").withColumn("segment_kind", kind)
     cells = s.where("kind = 'cell' and row is not null and parent_id is not null and region_id is not null")
-    headings = section_headings(nodes, spans).withColumnRenamed("node_id", "parent_id")
+    headings = section_headings(nodes, spans, nodes.where("kind = 'table'")).withColumnRenamed("node_id", "parent_id")
     rows = (
         cells.groupBy("document_id", "parent_id", "row")
         .agg(F.min("reading_order").alias("reading_order"), F.bool_and("header").alias("all_header"), F.sort_array(F.collect_set("region_id")).alias("region_ids"))
