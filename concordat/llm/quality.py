@@ -54,8 +54,8 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Figures (rows x FIGURES), and hashes of words and of their beginnings with the row of each
-    (words once for each row that holds them, beginnings as they come)."""
+    """Figures (rows x FIGURES), and 32-bit hashes of words and of their beginnings with the row of
+    each (words once for each row that holds them, beginnings as they come)."""
     rows = len(offsets) - 1
     starts, ends, h, first = byte_words(data, offsets, ALNUM_WORD, ASCII_LOWER)
     count = np.diff(first)
@@ -100,14 +100,14 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         if k in PREFIXES:
             hashes.append(begin ^ np.uint64(k))
             owners.append(row)
-    return figures, np.concatenate(hashes), np.concatenate(owners)
+    return figures, (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32), np.concatenate(owners)
 
 
 @dataclass
 class Evidence:
     """Weights of the regressions: one column each for low quality and toxic."""
 
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     word_weight: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     cuts: np.ndarray = field(default_factory=lambda: np.zeros((FIGURES, BINS - 1)))
     bin_weight: np.ndarray = field(default_factory=lambda: np.zeros((FIGURES, BINS, 2)))
@@ -149,7 +149,7 @@ def fit(figures: np.ndarray, words: list[np.ndarray], low: np.ndarray, toxic: np
     if not len(figures):
         return e
     e.cuts = np.stack([np.quantile(figures[:, k], np.arange(1, BINS) / BINS) for k in range(FIGURES)])
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
     known, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     lift = np.zeros(len(known))
@@ -181,8 +181,8 @@ def fit(figures: np.ndarray, words: list[np.ndarray], low: np.ndarray, toxic: np
 def frequent(column: pa.ChunkedArray, buckets: int = 1 << 20, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a list column whose bucket has LEAST_ROWS of them (a superset of those that
     do themselves), and where each row begins: most hashes are rare and needn't be sorted."""
-    parts = [(c.flatten().to_numpy().view(np.uint64), c.value_lengths().to_numpy()) for c in column.chunks]
-    mask = np.uint64(buckets - 1)
+    parts = [(c.flatten().to_numpy().view(np.uint32), c.value_lengths().to_numpy()) for c in column.chunks]
+    mask = np.uint32(buckets - 1)
     total = np.zeros(buckets, np.int64)
     for values, _ in parts:
         for a in range(0, len(values), step):
@@ -210,12 +210,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
                 fresh[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
                 words, count = words[fresh], np.bincount(row[fresh], minlength=b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [list_column(figures.ravel(), np.full(b - a, FIGURES), pa.float64()), list_column(words.view(np.int64), count, pa.int64()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)],
+                    [list_column(figures.ravel(), np.full(b - a, FIGURES), pa.float64()), list_column(words.view(np.int32), count, pa.int32()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)],
                     names=["figures", "words", "low", "toxic"],
                 )
 
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") != 0).cast("int").alias("toxic"))
-    table = rows.transform(in_arrow, run, "figures array<double>, words array<long>, low int, toxic int").toArrow()
+    table = rows.transform(in_arrow, run, "figures array<double>, words array<int>, low int, toxic int").toArrow()
     if not table.num_rows:
         return Evidence()
     flat, cut = frequent(table.column("words"))
