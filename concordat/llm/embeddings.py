@@ -37,7 +37,7 @@ NAME = "op3_embedding_near_dedup"
 COSINE = 0.98
 TOP, SHARED = 8, 3
 PIVOTS, MOST_PIVOTS, PIVOTS_UPTO, FIT = 256, 4096, 65_536, 4
-BLOCK = 1024
+BLOCK = 512
 
 
 def pivot_count(n: int) -> int:
