@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_words, text_groups
+from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_words, text_groups, written
 from concordat.session import in_arrow, read_table
 
 NAME = "op2_decontaminate"
@@ -39,7 +39,9 @@ ONE_IN = 20
 #: Words of a piece beside its overlap, and distance of sampled suffixes.
 PIECE, SAMPLE = 256, 8
 #: Benchmark text collected and broadcast at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
+#: Passes (blocks) chained in one stage, each with a Python worker of its own.
+PASSES = 4
 
 
 @dataclass
@@ -319,6 +321,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()
         if w := item_windows([(r["i"], r["t"]) for r in rows], window):
             out = _pass(out, spark.sparkContext.broadcast(w), text)
+        if k % PASSES == PASSES - 1 and k + 1 < blocks:
+            out, _ = written(out, "passes")
     if "spans" not in out.columns:
         empty = Windows(np.zeros(1, np.uint64), np.ones((1, 1), np.int64), np.full(1, 1 << 40), np.zeros(2, np.int64), np.zeros(0, np.int64), [], 1 << 40)
         out = _pass(out, spark.sparkContext.broadcast(empty), text)
