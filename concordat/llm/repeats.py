@@ -50,7 +50,7 @@ def repeated_units(docs: DataFrame, units: Units, digests: int) -> tuple[DataFra
     names = [f"h{k + 1}" for k in range(digests)]
     rows = distinct_units(docs, units, digests)
     twice = rows.groupBy(*names).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    found = rows.join(twice, names).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("h1").alias("h"), "first")).alias("units"))
+    found = rows.join(twice, names).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("h1").alias("h"), "first")).alias("units"))
     return written(found.select("doc_id", F.col("units.h").alias("h"), F.col("units.first").alias("first")), "repeats")
 
 
