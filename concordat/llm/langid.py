@@ -5,13 +5,15 @@ from left to right: the longest match with the sample is one phrase, then the ne
 Phrases times the logarithm of the sample's length over the text's length estimate the cross
 entropy (Ziv and Merhav); the language with the least wins.
 
-The automaton is laid out as a table with the restarts folded in, so a parse is one table step per
-symbol; all segments of a group of texts advance together. Texts are parsed whole, in segments
-of SEGMENT symbols each of which begins a phrase.
+The automaton's edges, three a symbol at most, lie in one table by row displacement, so its size
+follows the sample and not the alphabet: every letter of every sample is a symbol of its own,
+whatever its script. A parse is one table step per symbol; all segments of a group of texts
+advance together. Texts are parsed whole, in segments of SEGMENT symbols each of which begins a
+phrase.
 
-Sample: at most LANGUAGES languages (those with most documents), DOCUMENTS documents of each, of
-each document SAMPLE_CHARS characters, in all SYMBOLS symbols per language; chosen by a hash of
-doc_id over all training rows. These bounds hold for training alone.
+Sample: DOCUMENTS documents of each language, of each document SAMPLE_CHARS characters, in all
+SYMBOLS symbols per language; chosen by a hash of doc_id over all training rows. These bounds
+hold for training alone. All languages count; time and memory grow with their number.
 
 Null texts and texts without a letter get `und` and score 0, as does everything if nothing is
 labelled. Ties go to the first language by name. Rows are judged each; only text is read for a
@@ -21,9 +23,9 @@ prediction, other columns are ignored. Score is the margin to the second languag
 from __future__ import annotations
 
 import math
+import random
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,31 +38,28 @@ from concordat.llm.common import text_groups
 from concordat.session import in_arrow, read_table
 
 NAME = "op7_language_id"
-LANGUAGES, DOCUMENTS, SAMPLE_CHARS, SYMBOLS = 64, 64, 4000, 40_000
-#: Letters told apart; rarer ones match nothing.
-LETTERS = 120
+DOCUMENTS, SAMPLE_CHARS, SYMBOLS = 64, 4000, 40_000
 SEGMENT = 128
 OTHER, GAP = 0, 1
 
 
 @lru_cache(1)
-def letters() -> np.ndarray:
-    """Whether a code point is a letter."""
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+def folded() -> np.ndarray:
+    """Of each code point that is a letter the first one of its lower case, of others 0."""
+    return np.array([ord(chr(c).lower()[0]) if unicodedata.category(chr(c))[0] == "L" else 0 for c in range(sys.maxunicode + 1)], np.int32)
 
 
 def code_table(samples: dict[str, str]) -> np.ndarray:
-    """Symbol of each code point: GAP for all but letters, OTHER for letters outside the samples'
-    LETTERS most frequent ones, which are folded to lower case."""
-    seen = Counter("".join(samples.values()).lower())
-    known = sorted((c for c in seen if letters()[ord(c)]), key=lambda c: (-seen[c], c))[:LETTERS]
-    place = {c: i + 2 for i, c in enumerate(known)}
-    table = np.where(letters(), OTHER, GAP).astype(np.uint8)
-    for c, i in place.items():
-        for form in (c, c.upper(), c.title()):
-            if len(form) == 1:
-                table[ord(form)] = i
-    return table
+    """Symbol of each code point: GAP for all but letters, OTHER for letters that no sample has in
+    either case."""
+    fold = folded()
+    place = np.full(len(fold), OTHER, np.int32)
+    for sample in samples.values():
+        place[fold[np.frombuffer(sample.encode("utf-32-le"), np.uint32)]] = GAP
+    known = np.flatnonzero(place[1:] == GAP) + 1
+    place[known] = np.arange(len(known)) + 2
+    place[0] = GAP
+    return place[fold]
 
 
 def symbols_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +75,18 @@ def symbols_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return code[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def automaton(code: list[int], width: int) -> np.ndarray:
-    """Parse table of a suffix automaton over code: at state * width + symbol, the next state
-    times width, doubled, plus 1 where a phrase begins anew. The last symbol (width - 1) pads."""
-    rows, link, size = [[-1] * width], [-1], [0]
+def transitions(code: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton over code: of each state the next state by symbol. State 0 is the root."""
+    rows: list[dict[int, int]] = [{}]
+    link, size = [-1], [0]
     last = 0
     for c in code:
         cur = len(rows)
-        rows.append([-1] * width)
+        rows.append({})
         link.append(0)
         size.append(size[last] + 1)
         p = last
-        while p >= 0 and rows[p][c] < 0:
+        while p >= 0 and c not in rows[p]:
             rows[p][c] = cur
             p = link[p]
         if p >= 0:
@@ -96,15 +95,25 @@ def automaton(code: list[int], width: int) -> np.ndarray:
                 link[cur] = q
             else:
                 clone = len(rows)
-                rows.append(rows[q][:])
+                rows.append(rows[q].copy())
                 link.append(link[q])
                 size.append(size[p] + 1)
-                while p >= 0 and rows[p][c] == q:
+                while p >= 0 and rows[p].get(c) == q:
                     rows[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    step = np.array(rows, np.int64)
+    return rows
+
+
+def automaton(code: list[int], width: int) -> np.ndarray:
+    """Parse table over code with all symbols below width, for small alphabets: at state * width +
+    symbol, the next state times width, doubled, plus 1 where a phrase begins anew. The last
+    symbol (width - 1) pads."""
+    rows = transitions(code)
+    step = np.full((len(rows), width), -1, np.int64)
+    for state, row in enumerate(rows):
+        step[state, list(row)] = list(row.values())
     root = np.where(step[0] < 0, 0, step[0])
     fresh = step < 0
     fresh[:, OTHER] = True
@@ -114,6 +123,32 @@ def automaton(code: list[int], width: int) -> np.ndarray:
     return out.astype(np.int32).ravel()
 
 
+def packed(rows: list[dict[int, int]], width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of transitions() without the empty places: (root, owner, next, restart). A state
+    is a place of the table; its edge by a symbol below width lies that many places on if the
+    owner there is the state, else there is none. restart is the root's step by each symbol."""
+    places = 2 * sum(map(len, rows)) + 64
+    rng = random.Random(0)
+    owner, to, base, used = [-1] * (places + width), [0] * (places + width), [0] * len(rows), set()
+    for state in sorted(range(len(rows)), key=lambda k: -len(rows[k])):
+        for _ in range(64):
+            b = int(rng.random() * places)
+            if b not in used and all(owner[b + c] < 0 for c in rows[state]):
+                break
+        else:
+            b, places = len(owner), len(owner) + 1
+            owner += [-1] * width
+            to += [0] * width
+        used.add(b)
+        base[state] = b
+        for c, q in rows[state].items():
+            owner[b + c], to[b + c] = b, q
+    restart = np.full(width, base[0], np.int32)
+    for c, q in rows[0].items():
+        restart[c] = base[q]
+    return base[0], np.array(owner, np.int32), np.array(base, np.int32)[to], restart
+
+
 class Model:
     """Parse tables of the languages in order of name."""
 
@@ -121,13 +156,13 @@ class Model:
         texts = dict(samples)
         self.names = sorted(texts)
         self.table = code_table(texts)
-        self.width = int(self.table.max()) + 2
+        width = int(self.table.max()) + 1
         self.parse, self.weight = [], []
         for name in self.names:
             raw = np.frombuffer(texts[name].encode(), np.uint8)
             code, _ = symbols_of(raw, np.array([0, len(raw)]), self.table)
             code = code[:SYMBOLS]
-            self.parse.append(automaton(code.tolist(), self.width))
+            self.parse.append(packed(transitions(code.tolist()), width))
             self.weight.append(math.log2(2 + len(code)))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -142,16 +177,22 @@ class Model:
         row = np.repeat(np.arange(rows), count)
         begin = first[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
         end = np.minimum(begin + SEGMENT, first[1:][row])
-        at = begin[None, :] + np.arange(SEGMENT)[:, None]
-        lanes = np.where(at < end, code[np.minimum(at, len(code) - 1)], self.width - 1).astype(np.int32)
+        # longest segments first, so those that still run are the first ones
+        order = np.argsort(begin - end, kind="stable")
+        running = np.searchsorted((begin - end)[order], -np.arange(SEGMENT), side="left")
+        lanes = [code[begin[order[:n]] + k] for k, n in enumerate(running.tolist())]
         each = np.empty((len(self.names), rows))
-        for k, parse in enumerate(self.parse):
-            state, phrases = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
+        for k, (root, owner, to, restart) in enumerate(self.parse):
+            state, phrases = np.full(len(row), root, np.int32), np.ones(len(row), np.int32)
             for symbols in lanes:
-                got = parse[state + symbols]
-                phrases += got & 1
-                state = got >> 1
-            each[k] = np.add.reduceat(phrases, np.searchsorted(row, np.arange(rows))) * self.weight[k] / size
+                n = len(symbols)
+                at = state[:n] + symbols
+                fresh = owner[at] != state[:n]
+                phrases[:n] += fresh
+                state = np.where(fresh, restart[symbols], to[at])
+            total = np.empty_like(phrases)
+            total[order] = phrases
+            each[k] = np.add.reduceat(total, np.searchsorted(row, np.arange(rows))) * self.weight[k] / size
         best = each.argmin(0)
         least = each[best, np.arange(rows)]
         if len(self.names) > 1:
@@ -171,11 +212,8 @@ def training_samples(labelled: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The bounded sample per language, brought to the driver. Keys are chosen over all rows
     without their texts; then the texts of the chosen few are read."""
     keyed = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), doc_id).alias("h")).where("lang is not null and text is not null")
-    names = [r["lang"] for r in keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not names:
-        return ()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = keyed.where(F.col("lang").isin(names)).select("lang", "h").withColumn("r", rank).where(F.col("r") <= DOCUMENTS).select("lang", "h").distinct()
+    few = keyed.select("lang", "h").withColumn("r", rank).where(F.col("r") <= DOCUMENTS).select("lang", "h").distinct()
     got = keyed.join(F.broadcast(few), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
     ranked = got.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= DOCUMENTS)
     out: dict[str, list[tuple]] = {}

@@ -279,3 +279,47 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert {r["lang_pred"] for r in got.values()} == {"en", "und"} and got[(6, None)]["lang_pred"] == got[(7, "")]["lang_pred"] == got[(15, "😀" * 50)]["lang_pred"] == "und"
     assert {r["lang_pred"] for r in langid.identify(odd_docs, langid.training_samples(no_docs)).collect()} == {"und"}
     assert langid.identify(no_docs, samples).count() == 0
+
+
+def script_samples():
+    """Texts over wide alphabets with repeated words: (language, text)."""
+    rng = random.Random(11)
+    ranges = {"zh-x": (0x4E00, 3000), "zh-y": (0x4E00, 3000), "ja": (0x3041, 80), "ko": (0xAC00, 2000), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x627, 20), "en": (0x61, 26)}
+    out = []
+    for lang, (start, n) in ranges.items():
+        words = ["".join(chr(start + rng.randrange(n)) for _ in range(rng.randint(2, 5))) for _ in range(600)]
+        out += [(lang, " ".join(rng.choices(words, k=150))) for _ in range(70)]
+    return out
+
+
+def test_languages_of_many_scripts(spark):
+    texts = script_samples()
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.training_samples(docs.where("doc_id % 5 <> 0"))).where("doc_id % 5 = 0").collect()
+    assert len(got) == 112 and [r["doc_id"] for r in got if r["lang"] != r["lang_pred"]] == []
+    assert min(r["score"] for r in got) > 0.2
+
+
+def test_every_letter_and_language_counts(spark):
+    m = langid.Model((("el", "ΣΑΣ σας Κ" * 40), ("zh", "".join(chr(0x4E00 + k) for k in range(2000)))))
+    assert len(set(m.table[0x4E00 : 0x4E00 + 2000].tolist())) == 2000 and m.table[ord("Σ")] == m.table[ord("σ")] != m.table[ord("ς")]
+    docs = spark.createDataFrame([(k, chr(0x4E00 + k) * 50, f"l{k:03}") for k in range(100)], "doc_id long, text string, lang string")
+    assert all(r["lang"] == r["lang_pred"] for r in langid.identify(docs, langid.training_samples(docs)).collect())
+
+
+def test_packed_edges_are_those_of_the_automaton():
+    rng = np.random.default_rng(3)
+    for width in (8, 300):
+        rows = langid.transitions(rng.integers(2, width, 4000).tolist())
+        root, owner, to, restart = langid.packed(rows, width)
+        base, todo = {0: root}, [0]
+        while todo:
+            state = todo.pop()
+            found = {c: to[base[state] + c] for c in range(width) if owner[base[state] + c] == base[state]}
+            assert found.keys() == rows[state].keys()
+            for c, q in rows[state].items():
+                if q not in base:
+                    todo.append(q)
+                assert base.setdefault(q, found[c]) == found[c]
+        assert len(set(base.values())) == len(rows)
+        assert [restart[c] for c in range(width)] == [base[rows[0].get(c, 0)] for c in range(width)]
