@@ -9,7 +9,15 @@ with two other texts: what both outputs share before and behind is the template'
 Conversations of any length are cut into pieces of at most PIECE turns, so the quadratic cost of
 prefixes is bounded. A later piece is rendered with the conversation's first and last previous
 turns before it as context; the pieces' renderings are put together. Turns are dealt by range of
-(conv_id, turn), so one conversation that holds a third of all rows lies in many tasks.
+(conv_id, turn), so one conversation that holds a third of all rows is rendered in many tasks;
+what a conversation's later ranges need of the earlier ones is one row a range.
+
+Then every conversation of several pieces is rendered whole at growing lengths, each at least
+twice the one before, and at its full length, and compared with its pieces up to there. Where they
+differ, the pieces give way to one of the whole conversation, with the spans of all its prefixes
+if it doesn't rewrite history. A conversation's output is thus always template(all its turns);
+only rewriting that shows at none of these lengths, nor within a piece, goes unnoticed. This check
+holds one conversation in memory.
 
 Rows are ordered by turn, role, text. Null texts and roles are empty, null turns come first.
 Repeated rows are turns of their own. Rows with a null conv_id form one conversation without id.
@@ -21,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,6 +118,26 @@ def turn_spans(template: Template, turns: list[Turn], context: int = 0) -> tuple
 # --- pieces on Spark -------------------------------------------------------------------------
 
 _PIECES = "conv_id long, part int, piece long, n_turns long, formatted string, rewritten boolean, roles array<string>, starts array<long>, ends array<long>, text_starts array<long>, text_ends array<long>"
+_RAW = "conv_id long, part int, piece long, before long, alone boolean, first array<string>, previous array<string>, roles array<string>, texts array<string>"
+_ROWS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield from batch.slice(k, most).to_pylist()
+
+
+def _batches(rows: Iterator[dict], columns: str, most: int = 256) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(name, _ROWS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+    done = []
+    for row in rows:
+        done.append(row)
+        if len(done) == most:
+            yield pa.RecordBatch.from_pylist(done, schema)
+            done = []
+    if done:
+        yield pa.RecordBatch.from_pylist(done, schema)
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
@@ -118,49 +147,114 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     return turns.repartitionByRange(n, "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def pieces(conversations: DataFrame, template: Template = marked_turns, piece: int = PIECE) -> DataFrame:
-    """One row per piece: its number within (conv_id, part), its output, whether the template
-    rewrote history there (the output is then that of the piece on its own, without spans), and
-    of each turn the role, the span and the span of its text. Pieces of a conversation are in
-    order of (part, piece)."""
+def raw_pieces(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Unrendered pieces: the number within (conv_id, part), the turns before it there, whether it
+    is the only one there, the first and the previous turn there, and its turns. Written."""
     ordered = ordered_turns(conversations).withColumn("part", F.spark_partition_id())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[dict] = []
-        conv, first, last, held, number, part = object(), None, None, [], 0, 0
+    def cut(rows: Iterator[dict]) -> Iterator[dict]:
+        at, first, previous, held, number = object(), None, None, [], 0
+
+        def taken(alone: bool) -> dict:
+            conv, part = at
+            return {"conv_id": conv, "part": part, "piece": number, "before": number * piece, "alone": alone, "first": first, "previous": previous, "roles": [r for r, _ in held], "texts": [t for _, t in held]}
+
+        for row in rows:
+            key, turn = (row["conv_id"], row["part"]), (row["role"], row["text"])
+            if key != at:
+                if held:
+                    yield taken(number == 0)
+                at, first, previous, held, number = key, None, None, [], 0
+            elif len(held) == piece:
+                yield taken(False)
+                first, previous, held, number = first or held[0], held[-1], [], number + 1
+            held.append(turn)
+        if held:
+            yield taken(number == 0)
+
+    return written(ordered.transform(in_arrow, lambda batches: _batches(cut(_rows(batches)), _RAW), _RAW), "turns")[0]
+
+
+def carried(raw: DataFrame) -> dict[tuple[int | None, int], tuple[int, Turn | None, Turn | None]]:
+    """Of conversations that lie in several parts, per part how many turns come in earlier ones,
+    the first and the last of them. At most one conversation crosses from a part to the next."""
+    crossing = raw.groupBy("conv_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("conv_id").collect()
+    ids = [r["conv_id"] for r in crossing]
+    if not ids:
+        return {}
+    of = F.col("conv_id").isin([i for i in ids if i is not None])
+    of = F.coalesce(of, F.lit(False)) | F.col("conv_id").isNull() if None in ids else of
+    turn = lambda k: F.array(F.element_at("roles", k), F.element_at("texts", k))
+    runs = raw.where(of).groupBy("conv_id", "part").agg(F.sum(F.size("roles")).alias("n"), F.min_by(turn(1), "piece").alias("first"), F.max_by(turn(-1), "piece").alias("last"))
+    out: dict = {}
+    state: dict = {}
+    for r in sorted(runs.collect(), key=lambda r: r["part"]):
+        before, first, last = state.get(r["conv_id"], (0, None, None))
+        out[r["conv_id"], r["part"]] = before, first, last
+        state[r["conv_id"]] = before + r["n"], first or tuple(r["first"]), tuple(r["last"])
+    return out
+
+
+def rendered(template: Template, turns: list[Turn], context: list[Turn]) -> dict:
+    """Output, spans and whether history is rewritten, as columns of a piece."""
+    rewritten = False
+    try:
+        text, spans = turn_spans(template, [*context, *turns], len(context))
+    except RewritesHistory:
+        text, spans, rewritten = template(turns), [], True
+    columns = list(zip(*spans)) if spans else [()] * 4
+    return {"n_turns": len(turns), "formatted": text, "rewritten": rewritten, "roles": [r for r, _ in turns], **{k: list(c) for k, c in zip(("starts", "ends", "text_starts", "text_ends"), columns)}}
+
+
+def agrees(template: Template, turns: list[Turn], found: list[dict]) -> bool:
+    """Whether the outputs of a conversation's pieces are those of its prefixes at growing lengths."""
+    if any(r["rewritten"] for r in found):
+        return False
+    text, size, least = [], 0, 0
+    for r in found:
+        text.append(r["formatted"])
+        size += r["n_turns"]
+        if size >= least or r is found[-1]:
+            text, least = ["".join(text)], 2 * size
+            if template(turns[:size]) != text[0]:
+                return False
+    return True
 
-        def flush() -> None:
-            nonlocal held, number, last
-            if not held:
-                return
-            context = [t for t in dict.fromkeys((first, last)) if t is not None] if number else []
-            rewritten = False
-            try:
-                text, spans = turn_spans(template, [*context, *held], len(context))
-            except RewritesHistory:
-                text, spans, rewritten = template(held), [], True
-            columns = list(zip(*spans)) if spans else [()] * 4
-            done.append({"conv_id": conv, "part": part, "piece": number, "n_turns": len(held), "formatted": text, "rewritten": rewritten, "roles": [r for r, _ in held], **{k: list(c) for k, c in zip(("starts", "ends", "text_starts", "text_ends"), columns)}})
-            last = held[-1]
-            held, number = [], number + 1
-
-        schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("rewritten", pa.bool_()), ("roles", pa.list_(pa.string())), *((k, pa.list_(pa.int64())) for k in ("starts", "ends", "text_starts", "text_ends"))])
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["conv_id"] != conv:
-                    flush()
-                    conv, first, last, number, part = row["conv_id"], (row["role"], row["text"]), None, 0, row["part"]
-                held.append((row["role"], row["text"]))
-                if len(held) == piece:
-                    flush()
-                if len(done) >= 256:
-                    yield pa.RecordBatch.from_pylist(done, schema)
-                    done = []
-        flush()
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema)
 
-    return ordered.transform(in_arrow, run, _PIECES)
+def pieces(conversations: DataFrame, template: Template = marked_turns, piece: int = PIECE) -> DataFrame:
+    """One row per piece: its number within (conv_id, part), its output, whether the template
+    rewrote history there (the output is then that of the whole conversation, without spans), and
+    of each turn the role, the span and the span of its text. Pieces of a conversation are in
+    order of (part, piece). A conversation whose whole rendering differs from its pieces' is one
+    piece."""
+    raw = raw_pieces(conversations, piece)
+    spark = conversations.sparkSession
+    shared = spark.sparkContext.broadcast(carried(raw))
+
+    def render(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            crossing = (r["conv_id"], r["part"]) in shared.value
+            before, first, last = shared.value.get((r["conv_id"], r["part"]), (0, None, None))
+            before, first, last = before + r["before"], first or r["first"], r["previous"] or last
+            context = [tuple(t) for t in (first, last)[:before]]
+            turns = list(zip(r["roles"], r["texts"]))
+            yield {"conv_id": r["conv_id"], "part": r["part"], "piece": r["piece"], **rendered(template, turns, context), "texts": None if r["alone"] and not crossing else r["texts"]}
+
+    def check(rows: Iterator[dict]) -> Iterator[dict]:
+        for _, group in groupby(rows, key=lambda r: r["conv_id"]):
+            found = list(group)
+            if len(found) > 1:
+                turns = [t for r in found for t in zip(r["roles"], r["texts"])]
+                if not agrees(template, turns, found):
+                    found = [{**found[0], **rendered(template, turns, [])}]
+            for r in found:
+                yield {k: v for k, v in r.items() if k != "texts"}
+
+    with_texts = _PIECES + ", texts array<string>"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = raw.transform(in_arrow, lambda batches: _batches(render(_rows(batches)), with_texts), with_texts)
+    out = out.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part", "piece")
+    return out.transform(in_arrow, lambda batches: _batches(check(_rows(batches)), _PIECES), _PIECES)
 
 
 def read_back(formatted: str) -> list[Turn]:

@@ -199,6 +199,32 @@ def test_long_odd_conversations(spark):
     assert chat.summaries(chat.pieces(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_conversations_are_rendered_as_wholes(spark, partitions):
+    headed = lambda turns: ("<bos>[system]\n" if turns else "") + chat.marked_turns(turns)
+    numbered = lambda turns: "".join(f"{k}. {r}: {t}\n" for k, (r, t) in enumerate(turns))
+    forgetful = lambda turns: chat.marked_turns(turns[-40:])
+    long = [(k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(100)]
+    rows = [(c, *t) for c in (5, None) for t in long] + [(c, *t) for c in (1, 9) for t in long[:40]] + [(2, *long[0])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {}
+        for template in (headed, numbered, forgetful):
+            for r in chat.pieces(df, template).orderBy("part", "piece").collect():
+                got.setdefault((template, r["conv_id"]), []).append(r)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for (template, conv), found in got.items():
+        turns = [(r, t) for c, _, r, t in rows if c == conv]
+        assert "".join(r["formatted"] for r in found) == template(turns), (template, conv)
+        assert {r["rewritten"] for r in found} == {template is forgetful and len(turns) > 40}
+        if template is not forgetful or len(turns) <= 40:
+            texts = [r["formatted"][a:b] for r in found for a, b in zip(r["text_starts"], r["text_ends"])]
+            assert texts == [t for _, t in turns]
+    assert len(got) == 15
+
+
 # --- byte-level BPE --------------------------------------------------------------------------
 
 
