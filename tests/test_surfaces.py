@@ -164,3 +164,32 @@ def test_reports(spark):
     assert len(uses[("action", "act.administer:drug.abx_a")]) == 6 and f"{A}/bind.1" in uses[("concept", "cond.sepsis")]
     bad = tables["rules"].withColumn("action_key", F.lit("x:y"))
     assert {r["kind"] for r in bundle.first_break(bundle.violations(tables["segments"], tables["statements"], bad, tables["regions"])).collect()} == {"KeyMismatch"}
+
+
+def test_stored_bundles(spark):
+    from test_guidelines import A, B, DOC_A, DOC_B, LEXICON
+
+    from concordat.operators.graph import kept
+    from concordat.plans import guidelines
+
+    docs = spark.createDataFrame([(A, DOC_A), (B, DOC_B)], "document_id string, html string")
+    groups = spark.createDataFrame([("group.x", A), ("group.x", B)], "group_id string, document_id string")
+    whole = {k: kept(v) for k, v in bundle.assemble(guidelines.run(docs, groups, registry.lexicon(LEXICON))).items()}
+    kinds = lambda **changed: {r["kind"] for r in bundle.validate({**whole, **changed}).collect()}
+    assert kinds() == set()
+    index = whole["components"]
+    assert {r["kind"] for r in index.collect()} == {"segment", "binding", "statement", "rule", "constraint", "action", "concept"}
+    stronger = whole["rules"].withColumn("strength", F.lit("other"))
+    assert kinds(rules=stronger) == {"ConstraintMismatch", "ComponentsMismatch", "HashMismatch"}
+    was = {r["component"]: r["hash"] for r in index.where("kind = 'rule'").collect()}
+    now = {r["component"]: r["hash"] for r in bundle.components(whole["bindings"], whole["statements"], stronger).where("kind = 'rule'").collect()}
+    assert was.keys() == now.keys() and all(was[k] != now[k] for k in was)
+    assert kinds(hashes=whole["hashes"].withColumn("hash", F.lit("sha256:0"))) == {"HashMismatch"}
+    assert kinds(components=index.where("kind <> 'concept'")) == {"ComponentsMismatch"}
+    assert kinds(blocks=whole["blocks"].withColumn("raw_text", F.lit("x"))) == {"DocLayerMismatch", "HashMismatch"}
+    c = whole["constraints"].first()
+    pair = spark.createDataFrame([(c["document_id"], "pair1", c["action_key"], c["constraint_id"], c["constraint_id"])], whole["plan"].schema)
+    planned = {**whole, "plan": pair}
+    planned["components"], planned["hashes"] = bundle._index(planned), bundle._hashes(planned)
+    assert kinds(**planned) == {"PairInvalid"}
+    assert {r["kind"] for r in bundle.first_break(bundle.validate({**whole, "rules": stronger})).collect()} == {"ConstraintMismatch"}
