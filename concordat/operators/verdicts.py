@@ -103,13 +103,18 @@ def findings(results: DataFrame, found: DataFrame, regions: DataFrame, spans: Da
 def group_outcomes(results: DataFrame, reference: DataFrame) -> DataFrame:
     """(group_id, expected_outcome, matched) of reference groups (group_id, expected_outcome,
     expected_unsat_core, expected_no_conflict_result); a group without results is a miss."""
+    return matched(results, reference, ("group_id",))
+
+
+def matched(results: DataFrame, reference: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """group_outcomes with groups told apart by key."""
     contra = F.col("category") == "semantic_contradiction"
-    per = results.groupBy("group_id").agg(
+    per = results.groupBy(*key).agg(
         F.count_if(contra).alias("n_contra"), F.count("*").alias("n"), F.count_if(F.col("category") == "semantic_no_conflict").alias("n_none"), F.count_if(contra & (F.col("role") == "deontic")).alias("n_deontic"),
         F.max(F.when(contra, F.col("core"))).alias("core"), F.count_if((F.col("role") == "overlap") & (F.col("verdict") == "unsat")).alias("closed"),
     )
-    j = reference.join(per, "group_id", "left")
+    j = reference.join(per, list(key), "left")
     hit = F.when(F.col("expected_outcome") == "semantic_contradiction", (F.col("n_contra") == 1) & (F.col("n_deontic") == 1) & (F.col("core") == F.sort_array(F.array_distinct("expected_unsat_core")))).when(
         F.col("expected_outcome") == "semantic_no_conflict", (F.col("n") > 0) & (F.col("n") == F.col("n_none")) & (~F.coalesce("expected_no_conflict_result", F.lit(False)) | (F.col("closed") >= 1))
     )
-    return j.select("group_id", "expected_outcome", F.coalesce(hit, F.lit(False)).alias("matched"))
+    return j.select(*key, "expected_outcome", F.coalesce(hit, F.lit(False)).alias("matched"))

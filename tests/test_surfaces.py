@@ -140,6 +140,37 @@ def test_samples(spark):
     assert tuple(metrics.convergence(metrics.agreeing_pairs(prints, groups, "group", 4)).first()) == (5, 9)
 
 
+def test_route_metrics(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    routes = df([("m",), ("empty",)], "route string")
+    fills = df([("m", 3, 1, 2, True), ("m", 1, 0, 0, False)], "route string, recorded_calls long, schema_violations long, repairs long, accepted boolean")
+    plan = df([("m", "g", 2, "q.3", "q.4"), ("m", "g", 1, "q.1", "q.2")], "route string, group_id string, n int, q1_id string, q2_id string")
+    core = ["a.r1", "a.r2"]
+    results = df(
+        [("m", "g", 2, "q.2", "deontic", "semantic_contradiction", "unsat", core), ("m", "g", 1, "q.1", "overlap", "semantic_no_conflict", "sat", None), ("m", "g", 3, "q.3", "overlap", "semantic_no_conflict", None, []), ("m", "h", 1, "q.9", "overlap", "target_syntax_failure", None, None)],
+        "route string, group_id string, seq int, query_id string, role string, category string, verdict string, core array<string>",
+    )
+    prints = {r["group_id"]: r["print"] for r in metrics.verdict_fingerprint(plan, results, ("route", "group_id")).collect()}
+    assert prints["g"].split("\n") == ["pair q.1 q.2", "pair q.3 q.4", "result q.1 semantic_no_conflict sat -", "result q.2 semantic_contradiction unsat a.r1,a.r2", "result q.3 semantic_no_conflict - "]
+    samples = df([("m", "g", 0, "x"), ("m", "g", 1, "x"), ("m", "g", 2, "y"), ("m", "h", 0, "x")], "route string, group_id string, sample int, print string")
+    schema = "group_id string, expected_outcome string, expected_unsat_core array<string>, expected_no_conflict_result boolean"
+    reference = [("g", "semantic_contradiction", core, None), ("h", "semantic_no_conflict", None, None), ("none", "semantic_no_conflict", None, None)]
+    draws = df([("m", 4)], "route string, k int")
+    rows, lost = metrics.route_metrics(fills, results, samples, df(reference, schema), routes, draws)
+    got = {(r["route"], r["metric"]): (r["num"], r["den"]) for r in rows.collect()}
+    assert {m: v for (route, m), v in got.items() if route == "m"} == {
+        "acceptance_rate": (1, 2), "conflict_verdict_accuracy": (1, 3), "k_sample_convergence": (1, 3), "recorded_call_count": (4, 1), "repair_count": (2, 1), "schema_valid_rate": (3, 4), "target_syntactic_validity": (3, 4),
+    }
+    assert {m: v for (route, m), v in got.items() if route == "empty"} == {
+        "acceptance_rate": (0, 0), "conflict_verdict_accuracy": (0, 1), "k_sample_convergence": (0, 0), "recorded_call_count": (0, 1), "repair_count": (0, 1), "schema_valid_rate": (0, 0), "target_syntactic_validity": (0, 0),
+    }
+    assert lost.count() == 0
+    rows, lost = metrics.route_metrics(fills, results, samples, df([*reference, ("z", "odd", None, None)], schema), routes, draws)
+    assert rows.count() == 12 and {r["detail"] for r in lost.collect()} == {"unrecognized expected_outcome(s): z=odd"}
+    with pytest.raises(ValueError):
+        metrics.route_metrics(df([("m", 0, 1, 0, False)], fills.schema), results, samples, df(reference, schema), routes, draws)
+
+
 def test_reports(spark):
     from test_guidelines import A, B, C, CONTROL, DOC_A, DOC_B, LEXICON
 
