@@ -18,7 +18,7 @@ def assemble(tables: dict[str, DataFrame]) -> dict:
     """The report of a run as a plain value (see canon.emit): findings, documented no-conflict
     results, and the histogram of diagnostics."""
     rows = sorted(tables["findings"].collect(), key=lambda r: r["finding_id"])
-    entry = lambda r: {"finding_id": r["finding_id"], "group_id": r["group_id"], "query_id": r["query_id"], "category": r["category"], "conflict_kind": r["conflict_kind"], "unsat_core": list(r["core"] or []), "participating_rules": list(r["rules"] or []), "quoted": list(r["quoted"] or []), "wording": WORDING}
+    entry = lambda r: {"finding_id": r["finding_id"], "group_id": r["group_id"], "query_id": r["query_id"], "category": r["category"], "verdict": r["verdict"], "conflict_kind": r["conflict_kind"], "unsat_core": list(r["core"] or []), "participating_rules": list(r["rules"] or []), "quoted": list(r["quoted"] or []), "wording": WORDING}
     counts = metrics.histogram(tables["diagnostics"].withColumn("all", F.lit(1)), "all", "code").collect()
     return {
         "findings": [entry(r) for r in rows if r["part"] == "finding"],
@@ -41,11 +41,30 @@ def violations(report: dict) -> list[str]:
                 out.append(f"ConflictKindPresence {e['finding_id']}")
             if part == "findings" and not e["unsat_core"]:
                 out.append(f"CorePresence {e['finding_id']}")
-            if not e["quoted"]:
+            if e.get("verdict") not in (("unsat",) if part == "findings" else ("sat", "unsat")):
+                out.append(f"VerdictRule {e['finding_id']}")
+            if not e["participating_rules"] or not e["quoted"]:
                 out.append(f"EmptyEvidence {e['finding_id']}")
-            out += [f"QuotedTextLineBreak {e['finding_id']}" for q in e["quoted"] if "\n" in q]
+            out += [f"QuotedTextLineBreak {e['finding_id']}" for q in e["quoted"] if "\n" in q or "\r" in q]
             out += [f"EmptyQuotedText {e['finding_id']}" for q in e["quoted"] if not q.strip()]
     out += [f"ZeroCount {k}" for k, n in report["diagnostics"].items() if n < 1]
+    taxonomy, table = report.get("failure_taxonomy"), report.get("metrics")
+    if taxonomy is not None:
+        out += [] if taxonomy else ["EmptyTaxonomy"]
+        out += [f"TaxonomyZeroCount {route} {k}" for route, counts in taxonomy.items() for k, n in counts.items() if n < 1]
+    return out + (_table_violations(table) if table is not None else [])
+
+
+def _table_violations(table: dict) -> list[str]:
+    """What a reader would refuse of a metric table: baseline, routes and deltas, each of both a
+    list of route and rows, where rows have metric, num and den."""
+    routes, listed = [r["route"] for r in table["routes"]], [r["route"] for r in table["deltas"]]
+    out = [f"DuplicateRoute {r}" for r in sorted({r for r in routes if routes.count(r) > 1})]
+    out += [] if table["baseline"] in routes else [f"BaselineMissing {table['baseline']}"]
+    out += [] if [r for r in routes if r != table["baseline"]] == listed else ["DeltaTableMismatch"]
+    for r in [*table["routes"], *table["deltas"]]:
+        names = [x["metric"] for x in r["rows"]]
+        out += [] if names == sorted(set(names)) else [f"MetricRowOrder {r['route']}"]
     return out
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from concordat.operators import metrics, trace, verdicts
-from concordat.plans import guidelines
+from concordat.plans import guidelines, report
 from concordat.sources import html, registry
 
 # The three synthetic documents, the lexicon and the expected texts of the thread.
@@ -121,6 +121,49 @@ def test_findings_and_trace(thread, spark):
     assert thread["assertions"].count() == 8
 
 
+def test_stale_bundles_have_no_lineage(thread, spark):
+    compiled = spark.createDataFrame([("group.m1_conflict", "c1", ["h1", "h2"]), ("group.m1_no_conflict", "c2", ["h1", "h3"])], "group_id string, artifact_id string, input_hashes array<string>")
+    members = spark.createDataFrame([("group.m1_conflict", A), ("group.m1_conflict", B), ("group.m1_no_conflict", A), ("group.m1_no_conflict", C)], "group_id string, document_id string")
+    bundles = spark.createDataFrame([(A, "b.a", "h1"), (B, "b.b", "stale"), (C, "b.c", "h3")], "document_id string, bundle_id string, hash string")
+    edges = trace.consumed(compiled, members, bundles)
+    assert {(r["from_id"], r["operation"], r["to_id"]) for r in edges.collect()} == {("b.a", "compile", "c1"), ("b.a", "compile", "c2"), ("b.c", "compile", "c2")}
+    lin = trace.lineage(thread["pairs"], thread["results"], thread["rules"], thread["statements"], edges)
+    assert {r["document_id"] for r in lin.where("finding_id = 'finding.group.m1_conflict.1'").collect()} == {A}
+
+
+def test_trace_of_artifacts(spark):
+    nodes = [("s", "source", "a.html", "h"), ("g", "source_document_graph", "g.json", "h"), ("r", "report", "report.json", None)]
+    edges = [("s", "extract", "g"), ("g", "report", "r")]
+    claim = ("finding.group.x.0", "group.x", "q.x.pair1.overlap", "q.x.pair1", "semantic_contradiction", "unsat", "deontic_direction_conflict", ["a"], ["b"], ["c"], "r")
+    names = "finding_id group_id query_id pair_id category verdict conflict_kind assertion_ids region_ids rule_ids report_ref".split()
+    other = lambda **x: tuple(x.get(n, v) for n, v in zip(names, claim))
+    schema = ", ".join(f"{n} {'array<string>' if n.endswith('_ids') else 'string'}" for n in names)
+
+    def kinds(n=nodes, e=edges, c=(claim,)):
+        frames = spark.createDataFrame(list(n), "node_id string, kind string, path string, content_hash string"), spark.createDataFrame(list(e), "from_id string, operation string, to_id string"), spark.createDataFrame(list(c), schema)
+        return {r["kind"] for r in trace.violations(*frames).collect()}
+
+    assert kinds() == set()
+    broken = [("s", "source", "", "h"), ("r2", "report", "x", "h")]
+    assert kinds(n=[*nodes, *broken]) == {"DuplicateNodeId", "EmptyPath", "HashPresence", "SecondReportNode"}
+    assert kinds(e=[*edges, edges[0], ("r", "extract", "g"), ("g", "verify", "r"), ("g", "report", "none")]) == {"Duplicate", "EdgeRank", "EdgeOperation", "EdgeUnresolved"}
+    wrong = [other(finding_id="finding.group.x.02"), other(query_id="q.x.pair10"), other(finding_id="finding.group.x.3", verdict="sat"), other(finding_id="finding.group.x.1", conflict_kind=None, rule_ids=[], region_ids=["b", "a"], report_ref="g")]
+    assert kinds(c=[claim, *wrong]) == {"FindingIdForm", "QueryOutsidePair", "FindingSequenceNumbers", "CategoryVerdict", "ConflictKindPresence", "EmptyEvidence", "SetOrder", "ReportRef"}
+
+
+def test_report_rules():
+    entry = {"finding_id": "f.0", "group_id": "g", "query_id": "q", "category": "semantic_contradiction", "verdict": "unsat", "conflict_kind": "k", "unsat_core": ["a"], "participating_rules": ["r"], "quoted": ["t"], "wording": "w"}
+    value = {"findings": [entry], "no_conflict_results": [], "diagnostics": {}}
+    rows = [{"metric": "a", "num": 1, "den": 1}, {"metric": "b", "num": 1, "den": 1}]
+    table = {"baseline": "x", "routes": [{"route": "x", "rows": rows}, {"route": "y", "rows": rows}], "deltas": [{"route": "y", "rows": rows}]}
+    wrong = lambda **changed: [v.split(" ")[0] for v in report.violations({**value, **changed})]
+    assert wrong(metrics=table, failure_taxonomy={"x": {"c": 1}}) == []
+    assert wrong(findings=[{**entry, "verdict": "sat", "participating_rules": []}]) == ["VerdictRule", "EmptyEvidence"]
+    assert wrong(failure_taxonomy={}) == ["EmptyTaxonomy"] and wrong(failure_taxonomy={"x": {"c": 0}}) == ["TaxonomyZeroCount"]
+    assert wrong(metrics={**table, "baseline": "z", "deltas": [{"route": "x", "rows": rows[::-1]}]}) == ["BaselineMissing", "DeltaTableMismatch", "MetricRowOrder"]
+    assert wrong(metrics={**table, "routes": [*table["routes"], table["routes"][0]]}) == ["DuplicateRoute"]
+
+
 def rows_of(text, root=None):
     return [(r["part"], r["id"], r.get("kind"), r.get("parent_id"), r.get("raw_text"), r.get("code")) for r in html.document_rows("d", text, root)]
 
