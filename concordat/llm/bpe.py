@@ -8,7 +8,8 @@ The transducer says where a slice starts. Each distinct slice of a group is merg
 a cache, and ids are laid out again by slice, with byte offsets kept for decoding.
 
 Nulls and empty texts encode to no ids. Rows are independent: ties, repeated rows, null ids and
-extra columns need no care. A text is worked on whole; memory follows the longest text.
+extra columns need no care. A long text is cut at starts of slices into parts of PART_BYTES, which
+encode to the same ids; beside the text itself, memory follows its longest slice.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm.common import GROUP_BYTES, list_column, mix64, text_groups, _powers
+from concordat.llm.common import GROUP_BYTES, list_column, slice_hashes, text_groups
 from concordat.session import in_arrow, read_table
 
 NAME = "op6_byte_bpe"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices a worker remembers before it starts afresh.
 CACHE_SLICES = 120_000
+#: Bytes of a long text worked on at once.
+PART_BYTES = 1 << 20
 
 # Symbols: letter, number, other, apostrophe before one or two letters of a contraction, white
 # space not before visible text, a space before it, other white space before it, padding.
@@ -129,6 +132,43 @@ def slice_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(STARTS[symbols.astype(np.intp) * STATES + prefix_states(symbols)])
 
 
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slice of each content, and for every slice which of those it equals. Slices are told apart
+    by hash, then each is compared with its like byte by byte; on a false match all go by content."""
+    length = ends - starts
+    _, where, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = where[inverse]
+    same = bool((length == length[like]).all()) and np.array_equal(data, data[np.arange(len(data)) + np.repeat(starts[like] - starts, length)])
+    if not same:
+        raw = data.tobytes()
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        _, where = np.unique(inverse, return_index=True)
+    return where, inverse
+
+
+def parts(data: np.ndarray, most: int) -> list[int]:
+    """Byte positions that cut a long text into parts of about `most` bytes, at starts of slices: a
+    slice never depends on what lies before it, its start on two code points after it at most, and
+    only one of white space on whether the text goes on."""
+    cuts, size = [0], most
+    while len(data) - cuts[-1] > size:
+        stop = cuts[-1] + size
+        while data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        part = data[cuts[-1] : stop]
+        points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        starts = slice_starts(points, np.zeros(1, np.int64))
+        starts = starts[(starts > 0) & (starts < len(points) - 2)]
+        starts = starts[code_point_classes()[points[starts - 1]] != WHITE]
+        if len(starts):
+            cuts.append(cuts[-1] + int(np.flatnonzero((part & 0xC0) != 0x80)[starts[-1]]))
+            size = most
+        else:
+            size *= 2
+    return [*cuts, len(data)]
+
+
 class Coder:
     """Pair merging over a rank file, with a cache of slices."""
 
@@ -203,10 +243,7 @@ class Coder:
         filled = offsets[:-1][np.diff(offsets) > 0]
         starts = byte_of[slice_starts(points, np.searchsorted(byte_of, filled))]
         ends = np.append(starts[1:], len(data))
-        length = ends - starts
-        pos = np.arange(len(data)) - np.repeat(starts, length)
-        h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[pos], starts)
-        _, where, inverse = np.unique(mix64(h + length.astype(np.uint64)), return_index=True, return_inverse=True)
+        where, inverse = distinct_slices(data, starts, ends)
         raw, cache, ranks = data.tobytes(), self.cache, self.ranks
         if len(cache) > CACHE_SLICES:
             cache.clear()
@@ -229,6 +266,14 @@ class Coder:
         first = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         return flat, first, np.cumsum(self.length[flat])
 
+    def encode_long(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """The ids of one text part by part: (ids, byte offset in the part at which each ends, where
+        the part begins)."""
+        cut = parts(data, PART_BYTES)
+        for a, b in zip(cut, cut[1:]):
+            flat, _, stop = self.encode_group(data[a:b], np.array([0, b - a], np.int64))
+            yield flat, stop, a
+
     def decode_group(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, end to end."""
         if not len(ids):
@@ -262,9 +307,14 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
         c = coder(path)
         for batch in batches:
             for a, b, data, offsets in text_groups(batch.column(keep.index(text))):
-                flat, first, stop = c.encode_group(data, offsets)
-                count = np.diff(first)
-                stop = stop - np.repeat(offsets[:-1], count)
+                if len(data) > PART_BYTES:  # one long text
+                    found = [(flat, stop + origin) for flat, stop, origin in c.encode_long(data)]
+                    flat, stop = (np.concatenate([f[k] for f in found]) for k in range(2))
+                    count = np.array([len(flat)])
+                else:
+                    flat, first, stop = c.encode_group(data, offsets)
+                    count = np.diff(first)
+                    stop = stop - np.repeat(offsets[:-1], count)
                 part = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*part, list_column(flat, count, pa.int32()), list_column(stop, count, pa.int32())], names=[*keep, ids, ends])
 
@@ -289,6 +339,16 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
     return df.select(*keep).transform(in_arrow, run, schema)
 
 
+def long_digests(c: Coder, doc_id: pa.Array, data: np.ndarray) -> pa.RecordBatch:
+    """The row of digests() for one long text, part by part."""
+    count, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+    for flat, _, _ in c.encode_long(data):
+        ids_sha.update(((" " if count else "") + " ".join([c.names[i] for i in flat.tolist()])).encode())
+        text_sha.update(c.decode_group(flat))
+        count += len(flat)
+    return pa.RecordBatch.from_arrays([doc_id, pa.array([count], pa.int64()), pa.array([ids_sha.hexdigest()]), pa.array([text_sha.hexdigest()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, and the digests of the ids and of the bytes decoded from them.
     Encodes and decodes within a task, so that ids don't travel; one narrow stage, no shuffle."""
@@ -298,6 +358,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = coder(path)
         for batch in batches:
             for a, b, data, offsets in text_groups(batch.column(1), GROUP_BYTES):
+                if len(data) > PART_BYTES:  # one long text
+                    yield long_digests(c, batch.column(0).slice(a, 1), data)
+                    continue
                 flat, first, stop = c.encode_group(data, offsets)
                 decoded = c.decode_group(flat)
                 names, listed = c.names, flat.tolist()

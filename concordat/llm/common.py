@@ -6,6 +6,7 @@ so that memory follows the largest single text and never a whole partition.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -75,14 +76,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POW = np.cumprod(np.full(1 << 10, 0x9E3779B97F4A7C15, dtype=np.uint64))
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    while len(_POW) < n:
-        _POW = np.concatenate([_POW, _POW * _POW[-1]])
-    return _POW
+#: Slices are hashed as polynomials modulo this prime at a fixed point: two different slices of at
+#: most n bytes agree with a chance of n / 2^61, however regular they are. (Modulo 2^64 some would
+#: agree at every odd point.)
+PRIME = (1 << 61) - 1
+_POINT = 0x0F3C5A1D7B29E846
+#: Bytes hashed at once; a longer slice is hashed by digest.
+_SPAN = 1 << 20
+_POWERS = [np.ones(1, np.uint64), np.zeros(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Low 32 and high 29 bits of at least n powers of the point."""
+    have = len(_POWERS[0])
+    if have < n:
+        at, more = int(_POWERS[0][-1]) | int(_POWERS[1][-1]) << 32, []
+        for _ in range(max(n, 1 << 10) - have):
+            at = at * _POINT % PRIME
+            more.append(at)
+        new = np.array(more, np.uint64)
+        _POWERS[0] = np.concatenate([_POWERS[0], new & np.uint64(0xFFFFFFFF)])
+        _POWERS[1] = np.concatenate([_POWERS[1], new >> np.uint64(32)])
+    return _POWERS
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the slices data[start:end] (not empty, in order, without overlaps), their
+    bytes folded by a table over the 256 byte values."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        origin = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, origin + _SPAN, side="right")))
+        s, e = starts[at:stop] - origin, ends[at:stop] - origin
+        part = data[origin : origin + int(e[-1])]
+        if len(part) > _SPAN:
+            part = part if fold is None else fold[part]
+            out[at] = int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little")
+            at = stop
+            continue
+        size = e - s
+        room = np.diff(s, append=len(part))
+        pos = np.arange(len(part)) - np.repeat(s, room)
+        value = (part if fold is None else fold[part]).astype(np.uint64) + np.uint64(1)
+        if (room != size).any():
+            value[pos >= np.repeat(size, room)] = 0
+        longest = int(size.max())
+        np.minimum(pos, longest - 1, out=pos)
+        low, high = _powers(longest)
+        a, b = np.add.reduceat(value * low[pos], s), np.add.reduceat(value * high[pos], s)
+        p, half = np.uint64(PRIME), np.uint64(29)
+        # b * 2^32 modulo 2^61 - 1 is a rotation
+        h = ((b & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (b >> half) + (a & p) + (a >> np.uint64(61))
+        h = (h & p) + (h >> np.uint64(61))
+        out[at:stop] = mix64(np.where(h >= p, h - p, h) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = stop
+    return out
 
 
 def byte_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None):
@@ -112,18 +161,7 @@ def byte_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold:
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64), first
-    length = ends - starts
-    at = np.arange(n, dtype=np.int64)
-    origin = np.zeros(n, dtype=np.int64)
-    origin[starts] = np.diff(starts, prepend=0)
-    pos = at - np.cumsum(origin)
-    pos[~mask] = 0
-    pos[: starts[0]] = 0
-    value = (data if fold is None else fold[data]).astype(np.uint64) + np.uint64(1)
-    value[~mask] = 0
-    value *= _powers(int(length.max()))[pos]
-    h = np.add.reduceat(value, starts)
-    return starts, ends, mix64(h + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
+    return starts, ends, slice_hashes(data, starts, ends, fold), first
 
 
 def byte_table(chars: Iterable[int]) -> np.ndarray:
