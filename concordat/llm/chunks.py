@@ -1,140 +1,143 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the last 32 bytes; a chunk ends where it falls below a bound, so edges
-depend on content alone and an insertion shifts none but those near it. Chunks are known by digest.
-A chunk that another document (or an earlier place of the same one) holds is a repeat; adjacent
-repeats merge, and runs of at least LEAST bytes count: shorter ones are chance. What a smaller
-doc_id, or an earlier place, holds too is removed; the first place keeps its text.
-
-The hash is computed by doubling (sums over 1, 2, 4, ... 32 bytes) on arrays. Edges lie between
-code points. Null texts have no chunks and stay null, empty texts stay empty. Rows with the same
-doc_id are one document; rows with a null doc_id lose only what repeats within themselves. Extra
-columns pass through; columns named like the added ones are replaced.
+A gear hash rolls over the last HISTORY bytes; a chunk ends where it is least within REACH bytes on
+both sides, so edges depend on nearby content alone, an insertion shifts none but those near it, and
+a chunk has more than REACH bytes. Where no such place comes for MOST bytes (blanks, short periods)
+chunks end every MOST bytes from the last one. Edges lie between code points.
+
+Chunks are deduplicated by digest, in runs: at each chunk begins the run of chunks that first has
+LEAST bytes, known by 96 bits of digest of its content. A run that another document, or another place
+of the same one, holds too is a repeat. Every repeated stretch of LEAST bytes in whole chunks is thus
+found along one source, and chunks that repeat here and there by chance make none. What a smaller
+doc_id, or an earlier place, holds too is removed; the first place keeps its text. Of every chunk
+that goes, an earlier place has the same chunk, so no content is lost. A passage keeps up to
+HISTORY + REACH bytes and a part of a chunk on either side.
+
+The hash is computed by doubling (sums over 1, 2, 4, ... bytes) on arrays, its local minima likewise.
+Null texts have no chunks and stay null, empty texts stay empty, texts shorter than LEAST stay as
+they are. Rows with the same doc_id are one document; rows with a null doc_id lose only what repeats
+within themselves. Extra columns pass through, whatever they are called; columns named like the added
+ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from concordat.llm.common import _powers, mix64
-from concordat.llm.repeats import masks, repeated_units
-from concordat.session import in_arrow, read_table
+from concordat.llm.common import mix64
+from concordat.llm.repeats import dedup, masks
+from concordat.session import read_table
 
 NAME = "op9_substring_dedup"
-#: Mean bytes of a chunk, and least bytes of a repeated run.
-MEAN, LEAST = 32, 80
+#: Bytes that the rolling hash covers (a power of 2), bytes on either side of an edge within which
+#: it is least, and the most bytes of a chunk.
+HISTORY, REACH, MOST = 16, 15, 128
+#: Least bytes of a repeated run.
+LEAST = 120
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_BOUND = np.uint32((1 << 32) // MEAN)
 
 
-def edges(data: np.ndarray) -> np.ndarray:
-    """Byte positions at which chunks end."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
+def rolling(data: np.ndarray) -> np.ndarray:
+    """The gear hash of the HISTORY bytes up to each."""
     h = _GEAR[data]
-    for width in (1, 2, 4, 8, 16):
-        if width >= n:
-            break
+    width = 1
+    while width < HISTORY and width < len(data):
         shifted = h[:-width] << np.uint32(width)
         h = h.copy()
         h[width:] += shifted
-    cut = np.flatnonzero(h < _BOUND) + 1
-    inner = (data & 0xC0) != 0x80  # starts of code points
-    starts = np.flatnonzero(inner)
-    place = np.searchsorted(starts, cut)
-    cut = np.append(starts, n)[np.minimum(place, len(starts))]
-    return np.unique(np.append(cut, n))
+        width *= 2
+    return h
 
 
-def chunk_digests(text: bytes) -> tuple[np.ndarray]:
-    return (_digests(np.frombuffer(text, np.uint8))[1],)
+def edges(data: np.ndarray) -> np.ndarray:
+    """Byte positions at which chunks end."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    wide = np.full(n + 2 * REACH, np.iinfo(np.uint32).max, np.uint32)
+    wide[REACH : REACH + n] = rolling(data)
+    low, width = wide, 1  # the least of the last `width` hashes
+    while width < REACH:
+        step = min(width, REACH - width)
+        before = low[:-step]
+        low = low.copy()
+        np.minimum(low[step:], before, out=low[step:])
+        width += step
+    here = wide[REACH : REACH + n]
+    cut = np.flatnonzero((here < low[REACH - 1 : REACH - 1 + n]) & (here <= low[2 * REACH : 2 * REACH + n])) + 1
+    cut = np.append(cut[cut < n], n)
+    size = np.diff(cut, prepend=0)
+    for k in np.flatnonzero(size > MOST)[::-1].tolist():
+        begin = int(cut[k] - size[k])
+        cut = np.insert(cut, k, np.arange(begin + MOST, int(cut[k]) - REACH, MOST))
+    starts = np.flatnonzero((data & 0xC0) != 0x80)  # of code points
+    place = np.searchsorted(starts, cut)
+    return np.unique(np.append(starts, n)[np.minimum(place, len(starts))])
 
 
-def _digests(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    end = edges(data)
-    if not len(end):
-        return end, np.zeros(0, np.uint64)
-    start = np.concatenate([[0], end[:-1]])
-    size = end - start
-    pos = np.arange(len(data)) - np.repeat(start, size)
-    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[pos], start)
-    return end, mix64(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def runs(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk edges, and the byte spans of the runs, one from each chunk that has `least` bytes after
+    its start."""
+    end = edges(np.frombuffer(text, np.uint8))
+    start = np.concatenate([[0], end[:-1]]) if len(end) else end
+    last = np.searchsorted(end, start + least)
+    whole = last < len(end)
+    return end, start[whole], end[last[whole]]
 
 
-def long_runs(mark: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, chunk indices) of merged runs of at least `least` bytes."""
-    flag = np.concatenate([[False], mark, [False]])
-    a, b = np.flatnonzero(flag[1:] & ~flag[:-1]), np.flatnonzero(flag[:-1] & ~flag[1:])
-    begin = np.concatenate([[0], end])
-    return [(int(begin[x]), int(end[y - 1]), np.arange(x, y)) for x, y in zip(a, b) if end[y - 1] - begin[x] >= least]
+def digests(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of digest of each span, in two numbers."""
+    raw = b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begin.tolist(), stop.tolist())])
+    words = np.frombuffer(raw, ">i4").reshape(-1, 4)
+    return words[:, 0].astype(np.int64) << 32 | words[:, 1].astype(np.uint32), words[:, 2].astype(np.int32)
 
 
-def main_sources(source: np.ndarray, size: np.ndarray, least: int) -> list[int]:
-    """Of a run's chunks, the documents that hold half of `least` bytes of it, or else the most:
-    a few bytes also occur elsewhere by chance."""
-    names, which = np.unique(source[source != -1], return_inverse=True)
-    if not len(names):
-        return []
-    held = np.bincount(which, size[source != -1])
-    return names[held >= min(least / 2, held.max())].tolist()
+def merged(begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in zip(begin.tolist(), stop.tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
-_ADDED = ("n_chunks", "repeated", "removed", "sources")
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def dedup_substrings(df: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with repeated runs gone from its text, and n_chunks; repeated: byte spans (start, end)
     of runs that occur elsewhere too; removed: those of runs taken out; sources: the documents
-    that keep what was taken out. All but the text are null for null texts."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found, _ = repeated_units(docs, chunk_digests, 1)
-    keep = [c for c in df.columns if c not in _ADDED]
-    marked = found.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("first").alias("__first"))
-    joined = df.select(*keep).join(marked, F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
-    at_text, at_id = keep.index(text), keep.index(doc_id)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        for batch in batches:
-            texts, count, repeated, removed, sources = [], [], [], [], []
-            for value, key, h, first in zip(batch.column(at_text), batch.column(at_id), batch.column(len(keep)), batch.column(len(keep) + 1)):
-                value, key = value.as_py(), key.as_py()
-                if value is None:
-                    for x in (texts, count, repeated, removed, sources):
-                        x.append(None)
-                    continue
-                raw = value.encode()
-                end, digest = _digests(np.frombuffer(raw, np.uint8))
-                listed, firsts = (np.asarray(h.values, np.int64), np.asarray(first.values, np.int64)) if h.is_valid else (none, none)
-                earlier, elsewhere, source = masks(digest.view(np.int64), key, listed, firsts)
-                gone = long_runs(earlier, end, least)
-                if gone:
-                    parts, at = [], 0
-                    for a, b, _ in gone:
-                        parts.append(raw[at:a])
-                        at = b
-                    value = b"".join([*parts, raw[at:]]).decode()
-                texts.append(value)
-                count.append(len(end))
-                repeated.append([{"start": a, "end": b} for a, b, _ in long_runs(elsewhere, end, least)])
-                removed.append([{"start": a, "end": b} for a, b, _ in gone])
-                sources.append(sorted({x for _, _, i in gone for x in main_sources(source[i], np.diff(end, prepend=0)[i], least)}))
-            columns = list(batch.columns[: len(keep)])
-            columns[at_text] = pa.array(texts, columns[at_text].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(repeated, span), pa.array(removed, span), pa.array(sources, pa.list_(pa.int64()))], names=[*keep, *_ADDED])
-
-    from pyspark.sql import types as T
-
-    kind = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    schema = df.select(*keep).schema.add("n_chunks", "long").add("repeated", kind).add("removed", kind).add("sources", T.ArrayType(T.LongType()))
-    return joined.transform(in_arrow, run, schema)
+    that first hold what was taken out. All but the text are null for null texts."""
+
+    def units(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        _, begin, stop = runs(raw, least)
+        return digests(raw, begin, stop)
+
+    def edit(raw: bytes, key: int | None, known: dict) -> tuple:
+        end, begin, stop = runs(raw, least)
+        keys = list(zip(*(h.tolist() for h in digests(raw, begin, stop))))
+        earlier, elsewhere, source = masks(keys, key, known)
+        gone = merged(begin[earlier], stop[earlier])
+        new = None
+        if gone:
+            parts, at = [], 0
+            for a, b in gone:
+                parts.append(raw[at:a])
+                at = b
+            new = b"".join([*parts, raw[at:]]).decode()
+        spans = lambda found: [{"start": a, "end": b} for a, b in found]
+        return new, len(end), spans(merged(begin[elsewhere], stop[elsewhere])), spans(gone), sorted(set(source[earlier].tolist()) - {-1})
+
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    added = [T.StructField("n_chunks", T.LongType()), T.StructField("repeated", kind), T.StructField("removed", kind), T.StructField("sources", T.ArrayType(T.LongType()))]
+    return dedup(df, doc_id, text, units, "int", edit, added, [pa.int64(), _SPANS, _SPANS, pa.list_(pa.int64())])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,22 +8,22 @@ Lines end at a line feed. Texts of fewer than three lines have no window and sta
 do null and empty texts. Windows of three blank lines don't count. Rows with the same doc_id are
 one document; a row with a null doc_id loses only repeats within itself and is never the first
 place of a window. A text that loses nothing is returned unchanged; the rest keep the order of
-their lines. Extra columns pass through; `n_lines` and `n_removed` replace columns of that name.
+their lines. Extra columns pass through, whatever they are called; `n_lines` and `n_removed` replace
+columns of that name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concordat.llm.common import mix64
-from concordat.llm.repeats import masks, repeated_units
-from concordat.session import in_arrow, read_table
+from concordat.llm.repeats import dedup, masks
+from concordat.session import read_table
 
 NAME = "op8_line_dedup"
 WINDOW = 3
@@ -36,7 +36,7 @@ def line_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     lines = text.split(b"\n")
     n = len(lines) - WINDOW + 1
     if n < 1:
-        return np.zeros(0, _U), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), ">u8").astype(_U).reshape(-1, 2)
     blank = np.array([not x.strip() for x in lines])
     out = []
@@ -48,7 +48,13 @@ def line_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     empty = np.logical_and.reduce([blank[j : j + n] for j in range(WINDOW)])
     for h in out:
         h[empty] = 0
-    return out[0], out[1]
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def keys(text: bytes) -> list[tuple[int, int] | None]:
+    """The digests of each window; None for blank ones."""
+    one, two = line_windows(text)
+    return [None if not x else (x, y) for x, y in zip(one.tolist(), two.tolist())]
 
 
 def real_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +63,12 @@ def real_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return one[keep], two[keep]
 
 
-def removed_lines(text: bytes, doc_id: int | None, listed: np.ndarray, first: np.ndarray) -> np.ndarray:
+def removed_lines(text: bytes, doc_id: int | None, known: dict) -> np.ndarray:
     """Whether each line is covered by a repeated window."""
-    h = line_windows(text)[0].view(np.int64)
-    gone = np.zeros(len(h) + WINDOW - 1 if len(h) else text.count(b"\n") + 1, bool)
-    if len(h):
-        earlier, _, _ = masks(h, doc_id, listed, first)
-        at = np.flatnonzero(earlier & (h != 0))
+    windows = keys(text)
+    gone = np.zeros(text.count(b"\n") + 1, bool)
+    if windows:
+        at = np.flatnonzero(masks(windows, doc_id, known)[0])
         for j in range(WINDOW):
             gone[at + j] = True
     return gone
@@ -71,34 +76,14 @@ def removed_lines(text: bytes, doc_id: int | None, listed: np.ndarray, first: np
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeated lines gone from its text, and n_lines and n_removed (null for null texts)."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found, _ = repeated_units(docs, real_windows, 2)
-    keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    marked = found.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), F.col("first").alias("__first"))
-    joined = df.select(*keep).join(marked, F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
-    at_text, at_id = keep.index(text), keep.index(doc_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, removed = [], [], []
-            none = np.zeros(0, np.int64)
-            for value, key, h, first in zip(batch.column(at_text), batch.column(at_id), batch.column(len(keep)), batch.column(len(keep) + 1)):
-                value = value.as_py()
-                if value is None:
-                    texts.append(None), lines.append(None), removed.append(None)
-                    continue
-                raw = value.encode()
-                listed = np.asarray(h.values, np.int64) if h.is_valid else none
-                gone = removed_lines(raw, key.as_py(), listed, np.asarray(first.values, np.int64) if h.is_valid else none)
-                if gone.any():
-                    value = b"\n".join([x for x, g in zip(raw.split(b"\n"), gone.tolist()) if not g]).decode()
-                texts.append(value), lines.append(len(gone)), removed.append(int(gone.sum()))
-            columns = list(batch.columns[: len(keep)])
-            columns[at_text] = pa.array(texts, columns[at_text].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
-
-    schema = df.select(*keep).schema.add("n_lines", "long").add("n_removed", "long")
-    return joined.transform(in_arrow, run, schema)
+
+    def edit(raw: bytes, key: int | None, known: dict) -> tuple:
+        gone = removed_lines(raw, key, known)
+        new = b"\n".join([x for x, g in zip(raw.split(b"\n"), gone.tolist()) if not g]).decode() if gone.any() else None
+        return new, len(gone), int(gone.sum())
+
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
+    return dedup(df, doc_id, text, real_windows, "long", edit, added, [pa.int64(), pa.int64()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
