@@ -8,8 +8,8 @@ entropy (Ziv and Merhav); the language with the least wins.
 The automaton's edges, three a symbol at most, lie in one table by row displacement, so its size
 follows the sample and not the alphabet: every letter of every sample is a symbol of its own,
 whatever its script. A parse is one table step per symbol; all segments of a group of texts
-advance together. Texts are parsed whole, in segments of SEGMENT symbols each of which begins a
-phrase.
+advance together, and are parsed again from the state in which the one before ended until they meet
+what was found first, so a text has the phrases of one parse from left to right.
 
 Sample: DOCUMENTS documents of each language, of each document SAMPLE_CHARS characters, in all
 SYMBOLS symbols per language; chosen by a hash of doc_id over all training rows. These bounds
@@ -27,6 +27,7 @@ import random
 import sys
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,8 @@ from concordat.session import in_arrow, read_table
 
 NAME = "op7_language_id"
 DOCUMENTS, SAMPLE_CHARS, SYMBOLS = 64, 4000, 40_000
-SEGMENT = 128
+#: Symbols of texts parsed side by side, and how few segments are mended one by one.
+SEGMENT, FEW = 256, 32
 OTHER, GAP = 0, 1
 
 
@@ -149,6 +151,84 @@ def packed(rows: list[dict[int, int]], width: int) -> tuple[int, np.ndarray, np.
     return base[0], np.array(owner, np.int32), np.array(base, np.int32)[to], restart
 
 
+@dataclass
+class Segments:
+    """Stretches of SEGMENT symbols of all texts, the longest first, and where those that still run
+    are after each step."""
+
+    begin: np.ndarray
+    last: np.ndarray  # position of its last symbol
+    before: np.ndarray  # the segment before it in its text, or -1
+    end: np.ndarray  # of its text
+    steps: list[np.ndarray]
+
+
+def segments(first: np.ndarray) -> Segments:
+    size = np.diff(first)
+    count = -(-size // SEGMENT)
+    row = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[:-1][row] + nth * SEGMENT
+    length = np.minimum(SEGMENT, first[1:][row] - begin)
+    order = np.argsort(-length, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    before = np.where(nth > 0, np.concatenate([[-1], place[:-1]]), -1)[order] if len(order) else nth
+    running = np.searchsorted(-length[order], -np.arange(SEGMENT), side="left").tolist()
+    return Segments(begin[order], (begin + length - 1)[order], before, first[1:][row][order], [begin[order[:n]] + k for k, n in enumerate(running)])
+
+
+def phrase_counts(code: np.ndarray, first: np.ndarray, cut: Segments, table: tuple) -> np.ndarray:
+    """Phrases of each text. All segments are parsed together as if a text began at each; then those
+    that begin in another state are parsed again until they meet what was found, and so on: the
+    counts are those of a parse from left to right."""
+    root, owner, to, restart = table
+    trace, fresh = np.empty(len(code), np.int32), np.empty(len(code), np.uint8)
+    n = len(cut.begin)
+    state = np.full(n, root, np.int32)
+    for at in cut.steps:
+        symbols, now = code[at], state[: len(at)]
+        to_root = owner[now + symbols] != now
+        state = np.where(to_root, restart[symbols], to[now + symbols])
+        trace[at], fresh[at] = state, to_root
+    last = trace[cut.last]
+    later = np.flatnonzero(cut.before >= 0)
+    entered = np.full(n, root, np.int32)
+    while True:
+        wrong = later[entered[later] != last[cut.before[later]]]
+        if len(wrong) <= FEW:
+            break
+        at_segment, state = wrong, last[cut.before[wrong]]
+        entered[wrong] = state
+        for at in cut.steps:
+            runs = at_segment < len(at)
+            at_segment, state = at_segment[runs], state[runs]
+            if not len(at_segment):
+                break
+            here = at[at_segment]
+            symbols = code[here]
+            to_root = owner[state + symbols] != state
+            state = np.where(to_root, restart[symbols], to[state + symbols])
+            differs = trace[here] != state
+            trace[here], fresh[here] = state, to_root
+            at_segment, state = at_segment[differs], state[differs]
+        last = trace[cut.last]
+    if len(wrong):
+        symbols, owners, nexts, restarts, traced, freshly = (memoryview(np.ascontiguousarray(x)) for x in (code, owner, to, restart, trace, fresh))
+        for k in wrong[np.argsort(cut.begin[wrong], kind="stable")].tolist():
+            p = int(cut.begin[k])
+            s = traced[p - 1]
+            for p in range(p, int(cut.end[k])):
+                c = symbols[p]
+                new = owners[s + c] != s
+                s = restarts[c] if new else nexts[s + c]
+                freshly[p] = new
+                if traced[p] == s:
+                    break
+                traced[p] = s
+    return 1 + np.add.reduceat(fresh, first[:-1], dtype=np.int64)
+
+
 class Model:
     """Parse tables of the languages in order of name."""
 
@@ -173,26 +253,10 @@ class Model:
         code, first = symbols_of(data, offsets, self.table)
         size = np.diff(first)
         lettered = np.add.reduceat((code != GAP).astype(np.int64), first[:-1]) > 0
-        count = -(-size // SEGMENT)
-        row = np.repeat(np.arange(rows), count)
-        begin = first[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
-        end = np.minimum(begin + SEGMENT, first[1:][row])
-        # longest segments first, so those that still run are the first ones
-        order = np.argsort(begin - end, kind="stable")
-        running = np.searchsorted((begin - end)[order], -np.arange(SEGMENT), side="left")
-        lanes = [code[begin[order[:n]] + k] for k, n in enumerate(running.tolist())]
+        cut = segments(first)
         each = np.empty((len(self.names), rows))
-        for k, (root, owner, to, restart) in enumerate(self.parse):
-            state, phrases = np.full(len(row), root, np.int32), np.ones(len(row), np.int32)
-            for symbols in lanes:
-                n = len(symbols)
-                at = state[:n] + symbols
-                fresh = owner[at] != state[:n]
-                phrases[:n] += fresh
-                state = np.where(fresh, restart[symbols], to[at])
-            total = np.empty_like(phrases)
-            total[order] = phrases
-            each[k] = np.add.reduceat(total, np.searchsorted(row, np.arange(rows))) * self.weight[k] / size
+        for k, table in enumerate(self.parse):
+            each[k] = phrase_counts(code, first, cut, table) * self.weight[k] / size
         best = each.argmin(0)
         least = each[best, np.arange(rows)]
         if len(self.names) > 1:
