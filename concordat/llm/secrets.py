@@ -2,11 +2,12 @@
 
 Three base kinds are patterns: assign, access and hex. Longer base64 or hex candidates are also
 decoded, and are reported only when their bytes parse: DER key encodings whose nested lengths
-all add up, length-prefixed OpenSSH keys, and signed tokens whose header is a JSON object that
+all add up (at most DEPTH deep), length-prefixed OpenSSH keys, and signed tokens whose header is a JSON object that
 names an algorithm. Confirmed spans are added to the base spans, which always stay.
 
-Kinds, in order: assign, access, hex, token (a signed token), key (a key encoding on one line),
-pem (a key encoding between BEGIN and END lines). Positions are code points, end exclusive.
+Kinds, in order: assign, access, hex, token (a signed token), key (a key encoding on one or more lines,
+at the start of a run of coded characters or behind one of / = . in it), pem (a key encoding between
+BEGIN and END lines, line ends possibly written out as \\n). Positions are code points, end exclusive.
 Null and empty texts have no spans; repeated rows are scanned each; a narrow stage, no shuffle.
 Candidates are found in byte arrays of whole groups of texts, so only texts that hold one reach
 a regex.
@@ -34,10 +35,16 @@ KINDS = ("assign", "access", "hex", "token", "key", "pem")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+#: White space, and line ends written out, between the lines of a wrapped encoding.
+BREAKS = re.compile(rb"(?:[ \t\r\n]|\\[nr])*")
+CODED_LINE = re.compile(rb"[A-Za-z0-9+/_-]+")
+HEX_LINE = re.compile(rb"[0-9a-fA-F]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Characters from which a candidate is decoded.
 LEAST_DECODED = 32
+#: Most characters of a key encoding, and how deep its elements may nest; what is beyond isn't reported.
+MOST_DECODED, DEPTH = 1 << 17, 12
 
 _HEX = byte_table([*range(0x30, 0x3A), *range(0x61, 0x67)])
 _CODED = byte_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *map(ord, "+/_=.-")])
@@ -77,7 +84,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
         if i + size > n:
             return None
         body = data[i : i + size]
-        if tag & 0x20 and depth < 12 and der_items(body, depth + 1) is None:
+        if tag & 0x20 and (depth >= DEPTH or der_items(body, depth + 1) is None):
             return None
         out.append((tag, body))
         i += size
@@ -108,11 +115,12 @@ def is_der_key(data: bytes) -> bool:
     return tags == [_SEQ, _OCTETS] and oid(inner[0][1])
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: magic, then fields whose length prefixes fit."""
+def ssh_key_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that data begins with: magic, then fields whose length
+    prefixes fit. None if it begins with none."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     i, fields = len(magic), []
 
     def field(i: int) -> int | None:
@@ -126,14 +134,28 @@ def is_ssh_key(data: bytes) -> bool:
 
     for _ in range(3):
         if (i := field(i)) is None:
-            return False
+            return None
     if i + 4 > len(data) or not 1 <= (keys := int.from_bytes(data[i : i + 4], "big")) <= 16:
-        return False
+        return None
     i += 4
     for _ in range(keys + 1):
         if (i := field(i)) is None:
-            return False
-    return i == len(data) and bool(fields[0]) and fields[0].isascii()
+            return None
+    return i if fields[0] and fields[0].isascii() else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_key_size(data) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence whose first bytes are head, by its length field."""
+    if len(head) < 6 or head[0] != _SEQ:
+        return None
+    if head[1] < 0x80:
+        return 2 + head[1]
+    k = head[1] & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else None
 
 
 def decode64(text: str) -> bytes | None:
@@ -147,12 +169,6 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
-def is_key(text: str) -> bool:
-    if len(text) % 2 == 0 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and (is_der_key(x := bytes.fromhex(text)) or is_ssh_key(x)):
-        return True
-    return (x := decode64(text)) is not None and (is_der_key(x) or is_ssh_key(x))
-
-
 def is_token_header(part: str) -> bool:
     if len(part) < 12 or (raw := decode64(part)) is None or raw[:1] != b"{":
         return False
@@ -163,8 +179,82 @@ def is_token_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def confirmed(run: str) -> list[tuple[str, int, int]]:
-    """Spans (kind, start, end within the run) that decode and parse."""
+def coded(raw: bytes, start: int, end: int, line: re.Pattern, most: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """Up to `most` characters of an encoding from start on, its lines joined, and the lines' spans."""
+    out, spans, at, size = [], [], start, 0
+    while size < most and (m := line.match(raw, at, min(end, at + most - size))):
+        out.append(m[0])
+        spans.append(m.span())
+        size += len(m[0])
+        at = BREAKS.match(raw, m.end(), end).end()
+        if at == m.end():
+            break
+    return b"".join(out), spans
+
+
+def key_end(raw: bytes, start: int, end: int) -> int | None:
+    """Where the key encoding that begins at start ends (base64 on one or more lines, or hex), or None.
+    The length that its head states says how much of the text to take."""
+    head = raw[start : start + 8]
+    if head.startswith(b"b3BlbnNz"):
+        found, spans = coded(raw, start, end, CODED_LINE, MOST_DECODED)
+        data = decode64(found[: len(found) // 4 * 4].decode("ascii") if len(found) % 4 == 1 else found.decode("ascii"))
+        size = ssh_key_size(data) if data else None
+        if size is None:
+            return None
+        return _closed(raw, spans, -(-size * 4 // 3), end, CODED_LINE)
+    if head.startswith(b"M") and (data := decode64(head.decode("ascii", "replace"))) and (size := der_size(data)):
+        need = -(-size * 4 // 3)
+        if LEAST_DECODED <= need <= MOST_DECODED:
+            found, spans = coded(raw, start, end, CODED_LINE, need)
+            if len(found) == need and (data := decode64(found.decode("ascii"))) and is_der_key(data):
+                return _closed(raw, spans, need, end, CODED_LINE)
+    if head.startswith(b"30"):
+        found, spans = coded(raw, start, end, HEX_LINE, 12)
+        if len(found) == 12 and (size := der_size(bytes.fromhex(found.decode("ascii")))) and LEAST_DECODED <= 2 * size <= MOST_DECODED:
+            found, spans = coded(raw, start, end, HEX_LINE, 2 * size)
+            if len(found) == 2 * size and is_der_key(bytes.fromhex(found.decode("ascii"))):
+                return _closed(raw, spans, 2 * size, end, HEX_LINE)
+    if head.lower().startswith(b"6f70656e"):
+        found, spans = coded(raw, start, end, HEX_LINE, MOST_DECODED)
+        size = ssh_key_size(bytes.fromhex(found[: len(found) // 2 * 2].decode("ascii")))
+        return None if size is None else _closed(raw, spans, 2 * size, end, HEX_LINE)
+    return None
+
+
+def _closed(raw: bytes, spans: list[tuple[int, int]], need: int, end: int, line: re.Pattern) -> int | None:
+    """Where `need` characters of lines end, with their padding; None if a line goes on there."""
+    for a, b in spans:
+        if need <= b - a:
+            at = a + need
+            while at < end and raw[at] == 0x3D and at < a + need + 2:
+                at += 1
+            return None if line.match(raw, at, end) else at
+        need -= b - a
+    return None
+
+
+def is_key(text: str) -> bool:
+    raw = text.encode()
+    return key_end(raw, 0, len(raw)) == len(raw)
+
+
+def keys_in(raw: bytes, start: int, stop: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of key encodings that begin in raw[start:stop] (a run of coded characters) at its start
+    or behind one of / = . and may go on over the next lines up to end."""
+    at = start
+    while at < stop:
+        if (found := key_end(raw, at, end)) is not None:
+            yield at, found
+            at = found
+        else:
+            at += 1
+        while at < stop and not (raw[at - 1] in b"/=." and raw[at] in b"Mb36"):
+            at += 1
+
+
+def tokens(run: str) -> list[tuple[int, int]]:
+    """Spans of signed tokens within a run: three parts, the first a header that parses."""
     out, at = [], 0
     parts = run.split(".")
     k = 0
@@ -175,14 +265,10 @@ def confirmed(run: str) -> list[tuple[str, int, int]]:
             size = len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 2
             if parts[k + 2] and decode64(parts[k + 2]) is None:
                 size -= len(parts[k + 2])
-            out.append(("token", at + len(part) - len(head), at + size))
+            out.append((at + len(part) - len(head), at + size))
             at += len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 3
             k += 3
             continue
-        for begin in (0, part.rfind("=", 0, len(part.rstrip("="))) + 1):  # a key may follow a name and "="
-            if len(part) - begin >= LEAST_DECODED and is_key(part[begin:]):
-                out.append(("key", at + begin, at + len(part)))
-                break
         at += len(part) + 1
         k += 1
     return out
@@ -226,13 +312,21 @@ def scan_group(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[st
     for r in rows_with(raw, (b"AKIA",)):
         found.setdefault(r, []).extend(("access", m.start(), m.end()) for m in ACCESS.finditer(text(r)) if len(m[0]) >= LEAST_ACCESS)
     add("hex", *runs(_HEX[data], offsets, LEAST_HEX))
-    for a, b in zip(*runs(_CODED[data], offsets, LEAST_DECODED), strict=True):
-        for kind, s, e in confirmed(raw[a:b].decode("ascii")):
-            add(kind, [a + s], [a + e])
+    pem: dict[int, list[tuple[int, int]]] = {}
     for r in rows_with(raw, (b"-----BEGIN ",)):
         for m in PEM.finditer(text(r)):
-            if (x := decode64("".join(m[2].split()))) is not None and (is_der_key(x) or is_ssh_key(x)):
+            if (x := decode64(re.sub(r"\s|\\[nr]", "", m[2]))) is not None and (is_der_key(x) or is_ssh_key(x)):
                 found.setdefault(r, []).append(("pem", m.start(), m.end()))
+                pem.setdefault(r, []).append(m.span())
+    for a, b in zip(*runs(_CODED[data], offsets, LEAST_DECODED), strict=True):
+        a, b = int(a), int(b)
+        for s, e in tokens(raw[a:b].decode("ascii")):
+            add("token", [a + s], [a + e])
+        row = int(row_of(a))
+        for s, e in keys_in(raw, a, b, int(offsets[row + 1])):
+            at = int(points[s] - base[row])
+            if not any(x <= at < y for x, y in pem.get(row, ())):  # it is told as that
+                add("key", [s], [e])
     order = {k: i for i, k in enumerate(KINDS)}
     return {r: sorted(s, key=lambda x: (x[1], order[x[0]], x[2])) for r, s in found.items() if s}
 
