@@ -1,18 +1,21 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are spread over a bounded sample of the vectors. A vector is described
-by its TOP nearest pivots; two vectors are candidates if they share SHARED of them. The inverted
-lists are kept by SHARED pivots at once, so every list holds just the vectors with that shared
-count, and candidates are verified by cosine in double precision within their list. A pair that
-shares more is counted in one list only, that of its smallest shared pivots.
-
-Identical vectors are first drawn together, so a group of copies costs one vector. Long lists
-are compared in blocks of BLOCK vectors, each pair of blocks a task's group; pairs aren't written
-out, only a count of links and a smallest connected vector per vector and list.
+Reference points (pivots) are spread over a bounded sample of the vectors. A vector is described by
+its TOP nearest pivots in order; two vectors are candidates if they share SHARED of them that rank
+high in both: the ranks (from 0) add up to RANKS at most. The inverted lists are kept by SHARED pivots
+at once, so every list holds just the vectors with that shared count, and candidates are verified by
+cosine in double precision within their list. A pair that meets in several lists is counted in one
+only, that of its smallest shared pivots.
+
+Identical vectors are first drawn together, so a group of copies costs one vector. Lists are counted
+with partial aggregation; a long one is dealt into blocks of about BLOCK vectors by hash, each pair of
+blocks a task's group; pairs aren't written out, only a count of links and a smallest connected vector
+per vector and list.
 
 The index is fitted on a sample (PIVOTS reference points from FIT * PIVOTS vectors, more with the
 cube root of the table up to MOST_PIVOTS); every vector is indexed. Recall against brute force is
-above 0.99 in the tests, on pairs that lie at the threshold.
+above 0.99 in the tests, on pairs that lie at the threshold. Components are scaled by the largest of
+their vector, so neither large nor small numbers over- or underflow.
 
 Vectors link only with the same label (not null) and the same length. Null or zero vectors, and
 those with null or non-finite components, link with nothing. Rows with a null vec_id don't link.
@@ -27,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.common import components, drop_written, grouped, mix64, written
@@ -35,7 +38,7 @@ from concordat.session import in_arrow, read_table
 
 NAME = "op3_embedding_near_dedup"
 COSINE = 0.98
-TOP, SHARED = 8, 3
+TOP, SHARED, RANKS = 8, 3, 10
 PIVOTS, MOST_PIVOTS, PIVOTS_UPTO, FIT = 256, 4096, 65_536, 4
 BLOCK = 512
 
@@ -44,9 +47,16 @@ def pivot_count(n: int) -> int:
     return int(min(MOST_PIVOTS, round(PIVOTS * max(1.0, n / PIVOTS_UPTO) ** (1 / 3))))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length about 1: by their largest component first, so that squares neither over- nor
+    underflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def spread(sample: np.ndarray, count: int) -> np.ndarray:
     """Unit vectors of the sample, each the farthest from those before."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = scaled(sample)
     nearest, at, out = np.full(len(unit), 3.0), 0, []
     for _ in range(min(count, len(unit))):
         out.append(at)
@@ -63,9 +73,21 @@ def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def codes(top: np.ndarray) -> np.ndarray:
+    """Of ordered pivots (rows) the combinations that a vector is listed by, one number each."""
+    width = top.shape[1]
+    some = min(SHARED, width)
+    pick = np.array([c for c in combinations(range(width), some) if sum(c) <= RANKS])
+    chosen = np.sort(top[:, pick], axis=2).astype(np.int64)
+    out = np.zeros(chosen.shape[:2], np.int64)
+    for k in range(some):
+        out = out * (MOST_PIVOTS + 1) + chosen[:, :, k] + 1
+    return out
+
+
 def descriptions(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(rep, label, dim, x) with `top`, the ordered nearest pivots, and `lists`, the keys of all
-    combinations of SHARED of them; `thirds` packs the largest pivot of each combination."""
+    """(rep, mult, x) with `top`, the ordered nearest pivots, and `lists`, the keys of all
+    combinations of SHARED of them."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,25 +95,16 @@ def descriptions(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
             dim = batch.column(2).to_numpy()
             for d in np.unique(dim):
                 part = batch.filter(pa.array(dim == d))
-                p = shared.value[int(d)]
-                near = matrix(part.column(3)) @ p.T
+                near = scaled(matrix(part.column(3))) @ shared.value[int(d)].T
                 top = np.argsort(-near, axis=1, kind="stable")[:, :TOP]
-                width = top.shape[1]
-                some = min(SHARED, width)
-                ordered = np.sort(top, axis=1)
-                pick = np.array(list(combinations(range(width), some)))
-                h = mix64(part.column(1).to_numpy().astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None]
-                for k in range(some):
-                    h = mix64(h + ordered[:, pick[:, k]].astype(np.uint64) + np.uint64(1))
-                last = ordered[:, pick[:, -1]]
-                n = part.num_rows
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(h.view(np.int64).ravel()), len(pick)).cast(pa.list_(pa.int64()))
-                lasts = pa.FixedSizeListArray.from_arrays(pa.array(last.astype(np.int32).ravel()), len(pick)).cast(pa.list_(pa.int32()))
-                tops = pa.FixedSizeListArray.from_arrays(pa.array(top.astype(np.int32).ravel()), width).cast(pa.list_(pa.int32()))
-                assert len(lists) == n
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(3), tops, lists, lasts], names=["rep", "mult", "x", "top", "lists", "lasts"])
-
-    return vectors.select("rep", "label", "dim", "x", "mult").transform(in_arrow, run, f"rep long, mult long, x {dict(vectors.dtypes)['x']}, top array<int>, lists array<long>, lasts array<int>")
+                own = codes(top)
+                seed = mix64(part.column(1).to_numpy().astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None]
+                keys = mix64(mix64(seed + own.view(np.uint64)))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), own.shape[1]).cast(pa.list_(pa.int64()))
+                tops = pa.FixedSizeListArray.from_arrays(pa.array(top.astype(np.int16).ravel()), top.shape[1]).cast(pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(3), tops, lists], names=["rep", "mult", "x", "top", "lists"])
+
+    return vectors.select("rep", "label", "dim", "x", "mult").transform(in_arrow, run, f"rep long, mult long, x {dict(vectors.dtypes)['x']}, top array<short>, lists array<long>")
 
 
 def local_components(linked: np.ndarray) -> np.ndarray:
@@ -111,20 +124,21 @@ def compare(group: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray
     n = group.num_rows
     if n < 2:
         return None
-    blk, rep, mult, last = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
-    x = matrix(group.column(8))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    blk, rep, mult, nth = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
+    unit = scaled(matrix(group.column(8)))
     linked = unit @ unit.T >= least
     np.fill_diagonal(linked, False)
     if group.column(1)[0] != group.column(2)[0]:
         linked &= blk[:, None] != blk[None, :]
     if not linked.any():
         return None
-    top = matrix(group.column(7), np.int64)
-    below = np.zeros((n, int(top.max()) + 1), np.float32)
-    below[np.arange(n)[:, None], top] = 1
-    below[:, int(last[0]) :] = 0
-    mine = linked & ((below @ below.T) == min(SHARED, top.shape[1]) - 1)
+    own = codes(matrix(group.column(7), np.int64))
+    smaller = own < own[0, nth[0]]  # combinations whose list comes before this one
+    _, which, count = np.unique(own[smaller], return_inverse=True, return_counts=True)
+    held = np.zeros((n, len(count)), np.float32)
+    held[np.nonzero(smaller)[0], which] = 1
+    held = held[:, count > 1]
+    mine = linked & (held @ held.T == 0)
     links = mine @ mult
     order = np.argsort(rep, kind="stable")
     label = local_components(linked[np.ix_(order, order)])
@@ -138,7 +152,7 @@ def near_duplicates(df: DataFrame, least: float = COSINE, vec_id: str = "vec_id"
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
     reachable) and kept."""
     spark = df.sparkSession
-    kind = "array<double>" if dict(df.dtypes)[embedding] == "array<double>" else "array<float>"
+    kind = "array<float>" if dict(df.dtypes)[embedding] == "array<float>" else "array<double>"
     given = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast(kind).alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     fine = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("x", lambda v: v != 0), F.lit(False))
@@ -154,19 +168,17 @@ def near_duplicates(df: DataFrame, least: float = COSINE, vec_id: str = "vec_id"
         pivots[r["dim"]] = spread(np.array([s["x"] for s in sample], np.float64), want)
 
     described, described_path = written(descriptions(one, pivots), "described")
-    by_key = Window.partitionBy("key")
+    each = described.select("rep", F.posexplode("lists").alias("nth", "key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     lists = (
-        described.select("rep", F.explode(F.arrays_zip("lists", "lasts")).alias("l"))
-        .select("rep", F.col("l.lists").alias("key"), F.col("l.lasts").alias("last"))
-        .withColumn("m", F.count("*").over(by_key))
-        .where("m > 1")
-        .withColumn("blk", F.floor((F.row_number().over(by_key.orderBy("rep")) - 1) / BLOCK))
-        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / BLOCK) - 1)))
-        .select("key", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "rep", "last")
+        each.join(counts, "key")
+        .withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "rep"), "blocks"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "rep", "nth")
         .join(described.select("rep", "mult", "top", "x"), "rep")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lists.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep").select("key", "lo", "hi", "blk", "rep", "mult", "last", "top", "x")
+    ordered = lists.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep").select("key", "lo", "hi", "blk", "rep", "mult", "nth", "top", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
