@@ -7,9 +7,10 @@ ranks, and all windows of the benchmark are searched backwards at once. Occurren
 by walking to sampled suffix positions; their spans merge into removal spans.
 
 Long runs are cut into overlapping pieces, so the number of doubling rounds is bounded whatever
-repeats. The documents pass in one narrow stage without a shuffle. The benchmark is collected in
-blocks of at most BLOCK_BYTES of text, each block in one pass over the documents, so what is
-broadcast stays bounded when the benchmark grows.
+repeats. The documents pass in one narrow stage without a shuffle, and a shard's index is built once
+for all windows. Only windows all of whose words the shard holds are searched, BATCH at a time. The
+benchmark's words are broadcast as 4 bytes each; beyond BLOCK_BYTES of benchmark text (one item may
+be longer) it is dealt into blocks with a pass each, so what is broadcast stays bounded.
 
 Words: A-Z lower-cased, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is WINDOW consecutive words
 of an item; a shorter item is one window. Null or wordless texts have no words and are not
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_words, text_groups, written
+from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, byte_words, drop_written, text_groups, written
 from concordat.session import in_arrow, read_table
 
 NAME = "op2_decontaminate"
@@ -38,53 +39,53 @@ WINDOW = 13
 ONE_IN = 20
 #: Words of a piece beside its overlap, and distance of sampled suffixes.
 PIECE, SAMPLE = 256, 8
-#: Benchmark text collected and broadcast at once.
-BLOCK_BYTES = 1 << 20
+#: Benchmark text collected and broadcast at once, and windows searched at once.
+BLOCK_BYTES, BATCH = 16 << 20, 1 << 16
 #: Passes (blocks) chained in one stage, each with a Python worker of its own.
 PASSES = 4
 
 
 @dataclass
 class Windows:
-    """Distinct windows of a block of items, right-aligned symbols (0 pads)."""
+    """Windows of a block of items, as stretches of its words."""
 
     vocabulary: np.ndarray  # sorted word hashes; symbol k + 1 is word k
-    symbols: np.ndarray  # windows x longest
+    symbols: np.ndarray  # of all items, end to end
+    start: np.ndarray  # of each window in symbols
     length: np.ndarray
-    item_first: np.ndarray  # items of window k: item[item_first[k]:item_first[k + 1]]
-    item: np.ndarray
+    item: np.ndarray  # of each window, an index into item_ids
     item_ids: list[str | None]
-    shortest: int
 
     @property
     def levels(self) -> int:
         return max(1, int(len(self.vocabulary)).bit_length())
 
+    def batches(self, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows all of whose symbols are held, and their symbols right-aligned (0 pads)."""
+        lacking = np.concatenate([[0], np.cumsum(~held[self.symbols])])
+        some = np.flatnonzero(lacking[self.start + self.length] == lacking[self.start])
+        for k in range(0, len(some), BATCH):
+            at = some[k : k + BATCH]
+            longest = int(self.length[at].max())
+            place = (self.start[at] + self.length[at] - longest)[:, None] + np.arange(longest)
+            yield at, np.where(place >= self.start[at][:, None], self.symbols[np.maximum(place, 0)], 0)
 
-def item_windows(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Windows | None:
-    """Windows of (item_id, text) rows; None without any."""
+
+def item_windows(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Windows:
+    """Windows of (item_id, text) rows."""
     texts = pa.array([t for _, t in rows], pa.string())
-    found: dict[tuple[int, ...], set[str | None]] = {}
-    for a, b, data, offsets in text_groups(texts):
+    hashes, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in text_groups(texts):
         _, _, h, first = byte_words(data, offsets, ALNUM_WORD, ASCII_LOWER)
-        h = h.tolist()
-        for r in range(a, b):
-            w = h[first[r - a] : first[r - a + 1]]
-            name = None if rows[r][0] is None else str(rows[r][0])
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k : k + window]), set()).add(name)
-    if not found:
-        return None
-    vocabulary = np.array(sorted({x for w in found for x in w}), np.uint64)
-    length = np.array([len(w) for w in found], np.int64)
-    longest = int(length.max())
-    symbols = np.zeros((len(found), longest), np.int64)
-    for k, w in enumerate(found):
-        symbols[k, longest - len(w) :] = np.searchsorted(vocabulary, np.array(w, np.uint64)) + 1
-    ids = sorted({x for s in found.values() for x in s}, key=lambda x: (x is None, x or ""))
-    place = {x: i for i, x in enumerate(ids)}
-    owners = [sorted(place[x] for x in s) for s in found.values()]
-    return Windows(vocabulary, symbols, length, np.concatenate([[0], np.cumsum([len(o) for o in owners])]), np.array([x for o in owners for x in o], np.int64), ids, int(length.min()))
+        hashes.append(h)
+        size.append(np.diff(first))
+    vocabulary, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
+    size = np.concatenate(size)
+    count = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+    row = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    ids = [None if i is None else str(i) for i, _ in rows]
+    return Windows(vocabulary, symbols.astype(np.int32) + 1, (np.cumsum(size) - size)[row] + nth, np.minimum(size, window)[row], row, ids)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -211,11 +212,11 @@ def occurrences(symbol: np.ndarray, row_first: np.ndarray, w: Windows) -> tuple[
     start = np.flatnonzero(begins)
     run = np.cumsum(begins)[inside] - 1
     size = np.bincount(run, minlength=len(start))
-    keep = size >= w.shortest
+    keep = size >= w.length.min()
     start, size = start[keep], size[keep]
     if not len(start):
         return none, none
-    overlap = w.symbols.shape[1] - 1
+    overlap = int(w.length.max()) - 1
     pieces = np.maximum(1, -(-(size - overlap) // PIECE))
     owner = np.repeat(np.arange(len(start)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -229,7 +230,9 @@ def occurrences(symbol: np.ndarray, row_first: np.ndarray, w: Windows) -> tuple[
     text[where] = symbol[word]
     run_start = np.repeat(begin, p_size + 1)
     index = FmIndex(text, run_start, w.levels)
-    pattern, low, high = index.search(w.symbols, w.length)
+    held = np.diff(index.first) > 0
+    found = [(at[p], low, high) for at, rows in w.batches(held) for p, low, high in [index.search(rows, w.length[at])]]
+    pattern, low, high = (np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
     if not len(pattern):
         return none, none
     count = high - low
@@ -245,6 +248,8 @@ def scan_group(data: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nd
     spans as merged, with their words, item ids)."""
     starts, ends, h, first = byte_words(data, offsets, ALNUM_WORD, ASCII_LOWER)
     n_words = np.diff(first)
+    if not len(w.start):
+        return n_words, []
     place = np.minimum(np.searchsorted(w.vocabulary, h), len(w.vocabulary) - 1)
     window, at = occurrences(np.where(w.vocabulary[place] == h, place + 1, 0), first, w)
     out = []
@@ -255,7 +260,7 @@ def scan_group(data: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nd
         cut = np.flatnonzero(np.diff(row, prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(row)]):
             r = int(row[a])
-            items = {w.item_ids[i] for k in np.unique(window[a:b]) for i in w.item[w.item_first[k] : w.item_first[k + 1]]}
+            items = {w.item_ids[i] for i in np.unique(w.item[window[a:b]]).tolist()}
             base, size = int(first[r]), int(n_words[r])
             mark = np.zeros(size + 1, np.int64)
             np.add.at(mark, at[a:b] - base, 1)
@@ -314,18 +319,22 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     spark = df.sparkSession
     added = ("n_words", "spans", "item_ids", "n_hit", "n_items", "contaminated")
     out = df.select(*[c for c in df.columns if c not in added])
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-int(total) // block_bytes)
+    blocks = max(1, -(-int(total) // block_bytes))
+    if blocks > 1:
+        items, dealt = written(items.withColumn("b", F.pmod(F.xxhash64("t", "i"), F.lit(blocks))), "items")
+    before = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()
-        if w := item_windows([(r["i"], r["t"]) for r in rows], window):
-            out = _pass(out, spark.sparkContext.broadcast(w), text)
+        rows = (items.where(F.col("b") == k) if blocks > 1 else items).collect()
+        out = _pass(out, spark.sparkContext.broadcast(item_windows([(r["i"], r["t"]) for r in rows], window)), text)
         if k % PASSES == PASSES - 1 and k + 1 < blocks:
-            out, _ = written(out, "passes")
-    if "spans" not in out.columns:
-        empty = Windows(np.zeros(1, np.uint64), np.ones((1, 1), np.int64), np.full(1, 1 << 40), np.zeros(2, np.int64), np.zeros(0, np.int64), [], 1 << 40)
-        out = _pass(out, spark.sparkContext.broadcast(empty), text)
+            out, path = written(out, "passes")
+            if before:
+                drop_written(spark, before)
+            before = path
+    if blocks > 1:
+        drop_written(spark, dealt)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end_word"] - s["first_word"])
     return out.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
 
