@@ -11,11 +11,12 @@ Empty cells say nothing. A document with so many of them that the pigeonhole mig
 for empty cells also joins under further hash seeds; both sides of such a pair do, so no pair is
 lost. Documents also carry a bit sketch (one flipped bit per shingle) as a cheap check.
 
-Groups: identical sets are first drawn together by digest. Every key then links its documents to
-its smallest one; verified links make components. Only keys that still hold several components
-are compared pair by pair, in blocks of BLOCK documents whose pairs are checked on bit sketches
-without being written out. So large groups of copies cost a link per document and key, and no
-link between components is lost.
+Groups: identical sets are drawn together by digest, and of those in one task only one spreads its
+keys. Keys that several documents have are found by partial aggregation, then joined. Every key then
+links its documents to its smallest one; verified links make components. Only keys that still hold
+several components are compared pair by pair, dealt by hash into blocks of about BLOCK documents whose
+pairs are checked on bit sketches without being written out. So large groups of copies cost a link
+per document and key, no task gets a whole hot key, and no link between components is lost.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`. A document with fewer words than SHINGLE is one
 shingle; without words or text it is empty and linked with nothing. Rows with the same doc_id are
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm.common import ASCII_LOWER, SPACED_WORD, byte_words, components, drop_written, list_column, mix64, text_groups, written
@@ -42,6 +43,8 @@ SIMILARITY = (80, 100)
 #: Documents of a block of pairwise comparison.
 BLOCK = 1024
 SEEDS = 8
+#: Sets that a task remembers as spread.
+REMEMBERED = 1 << 20
 
 _U = np.uint64
 
@@ -134,26 +137,50 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-_FEATURES = "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch array<long>"
-
-
 def features(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Size, digest, join keys and bit sketch of each (doc_id, text)."""
+    """Size, digest and join keys of each (doc_id, text). A set that a task has met before under
+    some doc_id has no keys again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for a, b, data, offsets in text_groups(batch.column(1)):
                 sets = shingle_sets(data, offsets, size)
-                keys = [cell_keys(u, similarity) for u in sets]
-                sketches = [bit_sketch(u) for u in sets]
                 d1 = np.array([np.bitwise_xor.reduce(mix64(u ^ _U(0xA5A5A5A5A5A5A5A5))) for u in sets], _U)
                 d2 = np.array([mix64(u + _U(0x1234567)).sum(dtype=_U) for u in sets], _U)
+                named = batch.column(0).slice(a, b - a).is_valid().to_pylist()
+                keys = []
+                for u, name, digest in zip(sets, named, zip(d1.tolist(), d2.tolist())):
+                    if name and digest not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(digest)
+                        keys.append(cell_keys(u, similarity))
+                    else:
+                        keys.append(np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), list_column(np.concatenate(keys), [len(k) for k in keys], pa.int64())],
+                    names=["doc_id", "n", "d1", "d2", "keys"],
+                )
+
+    return docs.transform(in_arrow, run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+
+
+def shingled(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, sketch, s) of the wanted documents: bit sketch, and hashes of the set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_groups(batch.column(1)):
+                sets = shingle_sets(data, offsets, size)
+                sketches = [bit_sketch(u) for u in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), list_column(np.concatenate(keys), [len(k) for k in keys], pa.int64()), list_column(np.concatenate(sketches), [len(k) for k in sketches], pa.int64())],
-                    names=["doc_id", "n", "d1", "d2", "keys", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), list_column(np.concatenate(sketches), [len(k) for k in sketches], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())],
+                    names=["doc_id", "n", "sketch", "s"],
                 )
 
-    return docs.transform(in_arrow, run, _FEATURES)
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").distinct()
+    return texts.transform(in_arrow, run, "doc_id long, n long, sketch array<long>, s binary").where("n > 0")
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -181,20 +208,9 @@ def near_enough(pairs: DataFrame, meta: DataFrame, similarity: tuple[int, int])
     return joined.select("a", "b", "na", "nb", "sa", "sb").transform(in_arrow, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are similar, decided on whole sets of shingle hashes; only the
-    documents that are in pairs are shingled again."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are similar, decided on whole sets of shingle hashes."""
     p, q = similarity
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in text_groups(batch.column(1)):
-                sets = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([u.tobytes() for u in sets], pa.binary())], names=["doc_id", "s"])
-
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").transform(in_arrow, shingle, "doc_id long, s binary")
-    sets = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").dropDuplicates(["doc_id", "s"])
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +301,6 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base, _ = written(features(docs, size, similarity), "sets")
     known = base.where("doc_id is not null and n > 0")
-    meta = known.select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "sketch"])
 
     # identical sets: the smallest document stands for all
     first = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -293,41 +308,35 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[i
     rep, rep_path = written(rep, "identical")
 
     # keys that several documents share
-    by_key = Window.partitionBy("key")
-    shared = (
-        known.select("doc_id", F.explode("keys").alias("key"))
-        .withColumns({"low": F.min("doc_id").over(by_key), "top": F.max("doc_id").over(by_key)})
-        .where("low < top")
-        .join(rep.withColumnRenamed("rep", "r"), "doc_id")
-        .select("key", "low", F.col("r").alias("doc_id"))
-        .distinct()
-    )
-    shared, shared_path = written(shared, "shared")
+    keyed = known.select(F.explode("keys").alias("key"), "doc_id")
+    twice = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key")
+    held = keyed.join(twice, "key").join(rep, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
+    held, held_path = written(held, "held")
+    lows = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key", "low")
+    shared, shared_path = written(held.join(lows, "key").select("key", "low", "doc_id"), "shared")
+    drop_written(spark, held_path)
+    sets, sets_path = written(shingled(docs, shared.select("doc_id").distinct(), size), "shingles")
+    meta = sets.select("doc_id", "n", "sketch")
 
     same = rep.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     star = shared.where("low <> doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star, star_path = written(near_enough(star, meta, similarity), "pairs")
-    links, links_path = written(verified(star, docs, size, similarity), "links")
-    drop_written(spark, star_path)
-    comp = components(links)
+    links, links_path = written(verified(near_enough(star, meta, similarity), sets, similarity), "links")
+    comp, comp_path = written(components(links), "components")
 
     # keys that still hold several components: all pairs but those within a component
+    parts = shared.select("key", "doc_id").join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    open_keys = parts.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 < c2 and m > 2")
     spread = (
-        shared.join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-        .withColumn("comp", F.coalesce("component", "doc_id"))
-        .withColumns({"c1": F.min("comp").over(by_key), "c2": F.max("comp").over(by_key), "m": F.count("*").over(by_key)})
-        .where("c1 < c2 and m > 2")
-        .withColumn("blk", F.floor((F.row_number().over(by_key.orderBy("comp", "doc_id")) - 1) / BLOCK))
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+        parts.join(open_keys.select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "key")
+        .withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), "blocks"))
         .select("key", "doc_id", "comp", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
         .select("key", "doc_id", "comp", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
         .join(meta, "doc_id")
     )
     rest, rest_path = written(block_pairs(spread, similarity), "pairs")
-    more, more_path = written(verified(rest, docs, size, similarity), "links")
-    drop_written(spark, rest_path)
+    more, more_path = written(verified(rest, sets, similarity), "links")
     final = components(same.union(links).union(more))
-    for p in (rep_path, shared_path, links_path, more_path):
+    for p in (rep_path, shared_path, sets_path, links_path, comp_path, rest_path, more_path):
         drop_written(spark, p)
     return base.select("doc_id", "n").join(final, base["doc_id"] == final["v"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
