@@ -9,13 +9,17 @@ what is above them. A document's log-odds are its own plus what its path's poste
 the global share.
 
 The regressions are fitted on at most MOST_LABELLED labelled rows (smallest hashes of doc_id) and
-MOST_WORDS words; all counts and posteriors cover all documents. Two narrow passes over the texts and one small
-aggregation; site tables are joined by size, so they are broadcast only when small.
+MOST_WORDS words; a labelled doc_id with several texts counts once, with the least of them. All counts
+and posteriors cover all documents. One narrow pass over the texts, whose chances are written, and one
+small aggregation; site tables are joined by size, so they are broadcast only when small.
+
+Hosts and paths are columns of the caller's. The given documents have no addresses, so judged() takes
+the source for the host and, for want of a path, the language for the path.
 
 Null texts count as empty and are judged like other texts. Null hosts and paths form a group of
 their own. Labels with a null are left out; without labels of both kinds a regression says
 nothing (chance 0 of the fault). Repeated rows are judged each and count each in their site.
-Columns named like the added ones are replaced; an empty table gives no rows.
+Columns named like the added ones are replaced, others may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -214,7 +218,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
                     names=["figures", "words", "low", "toxic"],
                 )
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") != 0).cast("int").alias("toxic"))
+    found = docs.select("doc_id", "text").join(few.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    rows = found.select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") != 0).cast("int").alias("toxic"))
     table = rows.transform(in_arrow, run, "figures array<double>, words array<int>, low int, toxic int").toArrow()
     if not table.num_rows:
         return Evidence()
@@ -226,21 +231,23 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
     return fit(figures[order], [flat[cut[i] : cut[i + 1]] for i in order], low[order], toxic[order])
 
 
-def with_evidence(df: DataFrame, evidence: Evidence, text: str = "text") -> DataFrame:
-    """df with p_low, p_toxic and p_doc, the chance that neither holds."""
+def with_evidence(df: DataFrame, evidence: Evidence, text: str = "text", drop: bool = False) -> DataFrame:
+    """df with p_low, p_toxic and p_doc, the chance that neither holds; drop: without its text."""
     added = ("p_low", "p_toxic", "p_doc")
     keep = [c for c in df.columns if c not in added]
+    rest = [c for c in keep if not (drop and c == text)]
     shared = df.sparkSession.sparkContext.broadcast(evidence)
-    at = keep.index(text)
+    at, where = keep.index(text), [keep.index(c) for c in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
         for batch in batches:
             for a, b, data, offsets in text_groups(batch.column(at)):
                 p = e.chances(*describe(data, offsets))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((1 - p[:, 0]) * (1 - p[:, 1]))], names=[*keep, *added])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in where), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((1 - p[:, 0]) * (1 - p[:, 1]))], names=[*rest, *added])
 
-    return df.select(*keep).transform(in_arrow, run, df.select(*keep).schema.add("p_low", "double").add("p_toxic", "double").add("p_doc", "double"))
+    columns = lambda names: df.select(*[F.col(f"`{c}`") for c in names])
+    return columns(keep).transform(in_arrow, run, columns(rest).schema.add("p_low", "double").add("p_toxic", "double").add("p_doc", "double"))
 
 
 # --- sites ----------------------------------------------------------------------------------
@@ -279,27 +286,29 @@ def log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(df: DataFrame, evidence: Evidence, host: Column, path: Column, text: str = "text", least: float = 0.5) -> DataFrame:
+def classify(df: DataFrame, evidence: Evidence, host: Column, path: Column, text: str = "text", least: float = 0.5, drop: bool = False) -> DataFrame:
     """df with p_low, p_toxic, p_doc (its own evidence), p_host, p_path (posterior shares of good
-    documents of its site), p_good and keep (p_good >= least)."""
-    added = ("__host", "__path", "p_low", "p_toxic", "p_doc", "p_host", "p_path", "p_good", "keep")
-    given = df.select(*[c for c in df.columns if c not in added])
-    scored = with_evidence(given.select(host.alias("__host"), path.alias("__path"), text), evidence, text).select("__host", "__path", "p_doc")
-    sites, share = site_posteriors(scored, "__host", "__path")
-    sites = sites.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "p_host", "p_path")
-    full = with_evidence(given.withColumns({"__host": host, "__path": path}), evidence, text)
-    out = full.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    documents of its site), p_good and keep (p_good >= least); drop: without its text."""
+    added = ("p_low", "p_toxic", "p_doc", "p_host", "p_path", "p_good", "keep")
+    names = [c for c in df.columns if c not in added]
+    given = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.alias("host"), path.alias("path"))
+    own = f"c{names.index(text)}"
+    scored, _ = written(with_evidence(given, evidence, own, drop), "evidence")
+    sites, share = site_posteriors(scored)
+    sites = sites.withColumnsRenamed({"host": "h", "path": "p"})
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     z = log_odds(F.col("p_doc")) + log_odds(F.coalesce("p_path", F.lit(share))) - F.lit(math.log(share / (1 - share)))
-    return out.withColumn("p_good", 1 / (1 + F.exp(-z))).withColumn("keep", F.col("p_good") >= least).drop("__host", "__path", "__h", "__p")
+    out = out.withColumn("p_good", 1 / (1 + F.exp(-z))).withColumn("keep", F.col("p_good") >= least)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if not (drop and f"c{i}" == own)], *added)
 
 
-def judged(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(docs: DataFrame, spark: SparkSession, sf_dir: str, drop: bool = False) -> DataFrame:
     """Documents (doc_id, text, lang, source, ...) with the columns of classify(): hosts are
     sources, paths the languages within them."""
     evidence = learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return classify(docs, evidence, F.col("source"), F.col("lang"))
+    return classify(docs, evidence, F.col("source"), F.col("lang"), drop=drop)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judged(docs, spark, sf_dir).select("doc_id", "p_low", "p_toxic", "p_doc", "p_host", "p_path", "p_good", "keep")
+    return judged(docs, spark, sf_dir, drop=True).select("doc_id", "p_low", "p_toxic", "p_doc", "p_host", "p_path", "p_good", "keep")
