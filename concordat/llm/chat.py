@@ -96,7 +96,8 @@ def shared_prefix(a: str, b: str) -> int:
 
 def turn_spans(template: Template, turns: list[Turn], context: int = 0) -> tuple[str, list[tuple[int, int, int, int]]]:
     """What turns after the first `context` ones add to the output, and per turn (start, end,
-    text start, text end) in it. Raises RewritesHistory."""
+    text start, text end) in it; the latter are -1 where what surrounds the text depends on the text,
+    so that it can't be located. Raises RewritesHistory."""
     before = template(turns[:context])
     origin = len(before)
     spans = []
@@ -110,7 +111,9 @@ def turn_spans(template: Template, turns: list[Turn], context: int = 0) -> tuple
             raise RewritesHistory(f"turn {k}")
         head = shared_prefix(one, two)
         tail = shared_prefix(one[:head:-1], two[:head:-1])
-        spans.append((len(before) - origin, len(now) - origin, head - origin, len(now) - tail - origin))
+        stop = len(now) - tail
+        fits = head <= stop and now[:head] == one[:head] and now[stop:] == one[len(one) - tail :]
+        spans.append((len(before) - origin, len(now) - origin, *((head - origin, stop - origin) if fits else (-1, -1))))
         before = now
     return before[origin:], spans
 

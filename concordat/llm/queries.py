@@ -8,8 +8,8 @@ _MODULES = ("jaccard", "decontaminate", "embeddings", "secrets", "chat", "bpe",
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (*(f"concordat.llm.{m}" for m in _MODULES), "corpus_pipeline"):
-    _mod = importlib.import_module(_m)
+for _m in _MODULES:
+    _mod = importlib.import_module(f"concordat.llm.{_m}")
     QUERIES[_mod.NAME] = _mod.query
     if getattr(_mod, "ORACLE_SQL", None):
         ORACLES[_mod.NAME] = _mod.ORACLE_SQL

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from concordat.llm import bpe, chat, decontaminate, langid, secrets
-from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, SPACED_WORD, byte_words, text_groups
+from concordat.llm import bpe, chat, common, decontaminate, langid, secrets
+from concordat.llm.common import ALNUM_WORD, ASCII_LOWER, SPACED_WORD, byte_words, mix64, slice_hashes, text_groups
 
 WORD2 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -37,6 +37,39 @@ def test_byte_words_match_regex():
                 assert len({x: y for x, y in zip(h.tolist(), (low[s:e] for s, e in zip(starts, ends)))}) == len(set(h.tolist()))
 
 
+def regular_words(n):
+    """Two words of n letters that a polynomial hash modulo 2^64 can't tell apart from n = 1024 on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ac"[b] for b in bits), "".join("ca"[b] for b in bits)
+
+
+def test_regular_words_differ():
+    for k in range(10, 14):
+        one, two = regular_words(1 << k)
+        data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+        _, _, h, _ = byte_words(data, np.array([0, len(data)]), SPACED_WORD)
+        assert h[0] != h[1]
+
+
+def test_slice_hashes_by_definition():
+    rng = random.Random(4)
+    data = np.frombuffer(bytes(rng.choices(range(256), k=3000)), np.uint8)
+    cut = np.sort(rng.sample(range(3001), 400))
+    starts, ends = cut[::2], cut[1::2]
+    got = slice_hashes(data, starts, ends, ASCII_LOWER)
+    for s, e, h in zip(starts.tolist(), ends.tolist(), got):
+        value = sum((int(ASCII_LOWER[c]) + 1) * pow(common._POINT, k, common.PRIME) for k, c in enumerate(data[s:e])) % common.PRIME
+        assert h == mix64(np.array([value], np.uint64) + np.array([e - s], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0]
+
+
+def test_long_slices_are_hashed_too(monkeypatch):
+    text = b"ab" * 500 + b" " + b"AB" * 500 + b" " + b"ab" * 499 + b"ac"
+    monkeypatch.setattr(common, "_SPAN", 64)
+    data = np.frombuffer(text, np.uint8)
+    _, _, h, _ = byte_words(data, np.array([0, len(data)]), SPACED_WORD, ASCII_LOWER)
+    assert h[0] == h[1] != h[2]
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 
@@ -79,6 +112,21 @@ def test_fm_index_against_brute_force(spark):
         assert sum(len(WORD2.findall(low[s["start"] : s["end"]].decode().translate(UPPER))) for s in got[i]["spans"]) == hit
 
 
+def test_regular_words_are_no_hits(spark):
+    pairs = [regular_words(1 << k) for k in range(10, 14)]
+    docs = spark.createDataFrame([(i, f"{one} x") for i, (one, _) in enumerate(pairs)], "doc_id long, text string")
+    for at, hits in ((1, [0] * 4), (0, [1] * 4)):
+        items = spark.createDataFrame([(i, p[at]) for i, p in enumerate(pairs)], "item_id long, text string")
+        assert [r["n_hit"] for r in decontaminate.contamination(docs, items).orderBy("doc_id").collect()] == hits
+
+
+def test_one_text_in_many_items_goes_in_blocks(spark):
+    items = spark.createDataFrame([(i, "one two three") for i in range(300)] + [(7, "one two three")] * 50 + [(500, "four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "zero one two three"), (1, "four five six"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items, block_bytes=400).collect()}
+    assert got[0]["item_ids"] == sorted(map(str, range(300))) and got[1]["item_ids"] == ["500"] and got[2]["item_ids"] == []
+
+
 def test_suffix_array_and_ranks():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 300)
@@ -133,7 +181,10 @@ def test_structure():
 
 
 def brute_secrets(text):
-    out = [("assign", m.start(), m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
+    letters = lambda word: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join([*map(letters, ("password", "passwd", "secret", "token")), letters("api") + "_?" + letters("key")])
+    assign = f"({names})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    out = [("assign", m.start(), m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
@@ -156,6 +207,27 @@ def test_secret_spans(spark):
     assert clean[0] == "é [REDACTED]" and clean[5] == "[REDACTED]" and clean[6] == "日本 [REDACTED] tail" and clean[13] is None and clean[1] == texts[1]
 
 
+def test_keys_in_other_places(spark):
+    keys = [base64.b64encode(k).decode() for k in fake_keys()]
+    rows, wanted = [], []
+    for key in keys:
+        lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+        for before, body, after in (("/etc/keys/", key, ""), ("see\n", "\n".join(lines), "\nmore words"), ("x ", "\r\n".join(lines), " .\n"), ('"', "\\n".join(lines), '"')):
+            rows.append((len(rows), before + body + after))
+            wanted.append(body)
+    n = len(rows)
+    escaped = "-----BEGIN RSA PRIVATE KEY-----\\n" + "\\n".join(keys[0][k : k + 64] for k in range(0, len(keys[0]), 64)) + "\\n-----END RSA PRIVATE KEY-----"
+    deep = b""
+    for _ in range(secrets.DEPTH + 4):
+        deep = der(0x30, deep)
+    too_deep = base64.b64encode(der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48\x86"), deep), der(4, b"x" * 40))).decode()
+    rows += [(n, escaped), (n + 1, too_deep), (n + 2, keys[0] + "AAAA"), (n + 3, "/M" * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["secrets"] if s["kind"] in ("token", "key", "pem")] for r in secrets.scan(docs).collect()}
+    assert [got[i] for i in range(n)] == [[("key", w)] for w in wanted]
+    assert got[n] == [("pem", escaped)] and not got[n + 1] and not got[n + 2] and not got[n + 3]
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     assert secrets.scan(odd_docs).count() == odd_docs.count()
     assert secrets.scan(no_docs).count() == 0
@@ -250,6 +322,45 @@ def test_bpe_matches_library(tiktoken_encoding):
         assert c.decode_group(ids) == data.tobytes() and (not len(stop) or stop[-1] == len(data))
 
 
+def test_bpe_of_regular_and_long_texts(spark, tiktoken_encoding, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(regular_words(1 << k)) for k in range(10, 14)]
+    texts += ["".join(rng.choices("abc 'tsrevel  \n\n\t0129é漢!?.'", k=rng.randint(100, 900))) for _ in range(150)]
+    texts += ["a" * 700, " " * 700, "\n\n" * 300 + "b", "'re" * 200, "x  " * 300]
+    c = bpe.Coder(bpe.default_path())
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _, _ = c.encode_group(data, np.array([0, len(data)]))
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(text) and c.decode_group(ids) == text.encode()
+    monkeypatch.setattr(bpe, "PART_BYTES", 64)
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = list(c.encode_long(data))
+        assert [i for ids, _, _ in parts for i in ids.tolist()] == tiktoken_encoding.encode_ordinary(text)
+        row = bpe.long_digests(c, pa.array([1]), data).to_pylist()[0]
+        want = tiktoken_encoding.encode_ordinary(text)
+        assert row == {"doc_id": 1, "n_tokens": len(want), "ids_sha256": hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
+    assert len(parts) > 3
+
+
+def test_bpe_false_matches_go_by_content(monkeypatch, tiktoken_encoding):
+    monkeypatch.setattr(bpe, "slice_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    text = "one two six ten one two 12 34 do so"
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, _, _ = bpe.Coder(bpe.default_path()).encode_group(data, np.array([0, len(data)]))
+    assert ids.tolist() == tiktoken_encoding.encode_ordinary(text)
+
+
+def test_bpe_long_text_and_clashing_columns(spark, tiktoken_encoding):
+    long = "the quick brown fox don't jump\n" * 80_000
+    df = spark.createDataFrame([(1, long, [1], "y"), (2, "ab", None, "z")], "doc_id long, text string, ids array<int>, id_ends string")
+    rows = {r["doc_id"]: r for r in bpe.encode(df).collect()}
+    want = tiktoken_encoding.encode_ordinary(long)
+    assert rows[1]["ids"] == want and rows[1]["id_ends"][-1] == len(long) and len(rows[2]["ids"]) == 1
+    got = bpe.digests(df).where("doc_id = 1").first()
+    assert got["n_tokens"] == len(want) and got["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_bpe_columns_and_digests(odd_docs, no_docs, tiktoken_encoding):
     out = bpe.decode(bpe.encode(odd_docs))
     for r in out.collect():
@@ -292,6 +403,49 @@ def test_automaton_parses_like_longest_match():
         assert abs(phrases - want) <= text.count(5) + 1
 
 
+def left_to_right(m, text):
+    """Phrases per language of a parse from left to right, by substring tests on the samples' symbols."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    code, _ = langid.symbols_of(raw, np.array([0, len(raw)]), m.table)
+    out = []
+    for root, owner, to, restart in m.parse:
+        state, phrases = root, 1
+        for c in code.tolist():
+            if owner[state + c] != state:
+                state, phrases = int(restart[c]), phrases + 1
+            else:
+                state = int(to[state + c])
+        out.append(phrases)
+    return len(code), out
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_language_predictions_against_brute_force(spark, sf, monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW", few)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    samples = langid.training_samples(docs)
+    m = langid.Model(samples)
+    texts = [r["text"] or "" for r in docs.collect()] + ["a" * 3000, "ab" * 1500, "the " * 900, "", "12", "é" * 700]
+    for a, b, data, offsets in text_groups(pa.array(texts), 60_000):
+        names, scores = m.predict(data, offsets)
+        for text, name, score in zip(texts[a:b], names, scores):
+            size, counts = left_to_right(m, text)
+            if not any(ch.isalpha() for ch in text):
+                assert (name, score) == ("und", 0)
+                continue
+            each = [n * w / size for n, w in zip(counts, m.weight)]
+            assert name == m.names[min(range(len(each)), key=each.__getitem__)]
+            assert abs(score - (1 - min(each) / sorted(each)[1])) < 1e-12
+
+
+def test_language_clashing_columns_and_long_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = langid.training_samples(docs)
+    df = spark.createDataFrame([(1, "the and that of which " * 100_000, "x", 2), (2, None, "y", 3)], "doc_id long, text string, score string, lang_pred int")
+    got = {r["doc_id"]: r for r in langid.identify(df, samples).collect()}
+    assert got[2]["lang_pred"] == "und" and got[1]["lang_pred"] in {n for n, _ in samples} and 0 <= got[1]["score"] <= 1
+
+
 def test_language_accuracy_on_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.query(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
