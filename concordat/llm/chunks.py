@@ -6,7 +6,7 @@ a chunk has more than REACH bytes. Where no such place comes for MOST bytes (bla
 chunks end every MOST bytes from the last one. Edges lie between code points.
 
 Chunks are deduplicated by digest, in runs: at each chunk begins the run of chunks that first has
-LEAST bytes, known by 96 bits of digest of its content. A run that another document, or another place
+LEAST bytes, known by 96 bits of digest of its content; one more run takes in the end of the text. A run that another document, or another place
 of the same one, holds too is a repeat. Every repeated stretch of LEAST bytes in whole chunks is thus
 found along one source, and chunks that repeat here and there by chance make none. What a smaller
 doc_id, or an earlier place, holds too is removed; the first place keeps its text. Of every chunk
@@ -82,12 +82,15 @@ def edges(data: np.ndarray) -> np.ndarray:
 
 def runs(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunk edges, and the byte spans of the runs, one from each chunk that has `least` bytes after
-    its start."""
+    its start, and from the last of these one to the end."""
     end = edges(np.frombuffer(text, np.uint8))
     start = np.concatenate([[0], end[:-1]]) if len(end) else end
     last = np.searchsorted(end, start + least)
     whole = last < len(end)
-    return end, start[whole], end[last[whole]]
+    begin, stop = start[whole], end[last[whole]]
+    if len(stop) and stop[-1] < end[-1]:
+        begin, stop = np.append(begin, begin[-1]), np.append(stop, end[-1])
+    return end, begin, stop
 
 
 def digests(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -250,6 +250,7 @@ def brute_substrings(rows, least=chunks.LEAST):
         end = slow_edges(raw) if raw else []
         start = [0, *end[:-1]] if end else []
         runs[i] = [(a, next(e for e in end if e >= a + least)) for a in start if end[-1] >= a + least]
+        runs[i] += [(runs[i][-1][0], end[-1])] if runs[i] and runs[i][-1][1] < end[-1] else []
     content = {i: [(t or "").encode()[a:b] for a, b in runs[i]] for i, t in rows}
     first, held = {}, {}
     for i in sorted(content):
