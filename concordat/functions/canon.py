@@ -122,3 +122,177 @@ def read(text: str) -> Any:
     if emit(value) != text:
         raise CanonError("not the canonical encoding")
     return value
+
+
+# --- typed strict reader ---------------------------------------------------------------------
+
+
+class ReadError(CanonError):
+    """Text that isn't the canonical form of its type; kind is one of KINDS."""
+
+    def __init__(self, kind: str, detail: str = ""):
+        super().__init__(f"{kind} {detail}".strip())
+        self.kind = kind
+
+
+# What can be wrong with text that should be canonical.
+KINDS = ("Syntax", "Eof", "Trailing", "Token", "Str", "Integer", "UnknownField", "MissingField", "Unsorted", "RationalNotReduced", "Unnormalized", "Policy")
+
+_ESCAPED = re.compile(r'\\(?:(["\\])|u00([01][0-9a-f])|(.?))', re.DOTALL)
+_INTEGER = re.compile(r"\A(?:0|-?[1-9][0-9]*)\Z")
+_NAME = re.compile(r"\A[a-z0-9_:./-]+\Z")
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def peek(self) -> str:
+        if self.at >= len(self.text):
+            raise ReadError("Eof")
+        return self.text[self.at]
+
+    def expect(self, sign: str) -> None:
+        if self.peek() != sign:
+            raise ReadError("Syntax", sign)
+        self.at += 1
+
+    def value_start(self, sign: str) -> None:
+        """A value of another JSON type is a token where none may be."""
+        c = self.peek()
+        if c != sign and (c in "-0123456789" or self.text.startswith(("null", "true", "false"), self.at)):
+            raise ReadError("Token", c)
+        self.expect(sign)
+
+    def string(self) -> str:
+        self.value_start('"')
+        out = []
+        while True:
+            c = self.peek()
+            if c == '"':
+                self.at += 1
+                return "".join(out)
+            if c < " ":
+                raise ReadError("Str", "control")
+            if c != "\\":
+                out.append(c)
+                self.at += 1
+                continue
+            m = _ESCAPED.match(self.text, self.at)
+            if m[1] is None and m[2] is None:
+                raise ReadError("Str", "escape")
+            out.append(m[1] if m[1] is not None else chr(int(m[2], 16)))
+            self.at = m.end()
+
+
+def _read(r: _Reader, kind: Any) -> Any:
+    """kind: "string", "name", "folded", "integer", "rational", [kind], {kind} as ("set", kind), a dict of
+    members (an optional one has a name that ends in ?), or ("map", kind)."""
+    if kind in ("string", "name", "folded", "integer"):
+        text = r.string()
+        if kind == "integer":
+            if not _INTEGER.match(text):
+                raise ReadError("Integer", text)
+            return int(text)
+        if kind == "name" and not _NAME.match(text):
+            raise ReadError("Policy", text)
+        if kind == "folded":
+            from concordat.sources.registry import fold_ja
+
+            if fold_ja(text) != text:
+                raise ReadError("Unnormalized", text)
+        return text
+    if kind == "rational":
+        from math import gcd
+
+        got = _read(r, {"den": "integer", "num": "integer"})
+        if got["den"] <= 0 or gcd(got["num"], got["den"]) != 1:
+            raise ReadError("RationalNotReduced")
+        return got
+    if isinstance(kind, list) or (isinstance(kind, tuple) and kind[0] == "set"):
+        inner, ordered = (kind[0], False) if isinstance(kind, list) else (kind[1], True)
+        out, last = [], None
+        r.value_start("[")
+        while r.peek() != "]":
+            if out:
+                r.expect(",")
+            begin = r.at
+            out.append(_read(r, inner))
+            mark = r.text[begin : r.at].encode()
+            if ordered and last is not None and mark <= last:
+                raise ReadError("Unsorted")
+            last = mark
+        r.at += 1
+        return out
+    r.value_start("{")
+    found: dict[str, Any] = {}
+    if isinstance(kind, tuple):  # a map by name
+        while r.peek() != "}":
+            if found:
+                r.expect(",")
+            name = r.string()
+            if found and name.encode() <= max(found, key=str.encode).encode():
+                raise ReadError("Unsorted", name)
+            r.expect(":")
+            found[name] = _read(r, kind[1])
+        r.at += 1
+        return found
+    names = sorted(kind, key=lambda n: n.rstrip("?").encode())
+    while r.peek() != "}":
+        if found:
+            r.expect(",")
+        name = r.string()
+        while names and names[0].rstrip("?") != name and names[0].endswith("?"):
+            names.pop(0)
+        if not names or names[0].rstrip("?") != name:
+            raise ReadError("MissingField" if any(n.rstrip("?") == name for n in names) else "UnknownField", name)
+        r.expect(":")
+        found[name] = _read(r, kind[names.pop(0)])
+    if any(not n.endswith("?") for n in names):
+        raise ReadError("MissingField", names[0])
+    r.at += 1
+    return found
+
+
+def read_typed(text: str, kind: Any) -> Any:
+    """The value of the canonical text of a type; ReadError says what is wrong first."""
+    r = _Reader(text)
+    out = _read(r, kind)
+    if r.at < len(text):
+        raise ReadError("Trailing")
+    return out
+
+
+def read_errors(df: Any, column: str, kind: Any, out: str = "error") -> Any:
+    """df with the kind of error that reading a text column as a type meets first, null for none. A
+    narrow stage in Arrow batches: reading is a recursive descent that no expression says."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from concordat.session import in_arrow
+
+    names = [c for c in df.columns if c != out]
+    at = names.index(column)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for x in batch.column(at).to_pylist():
+                try:
+                    if x is None:
+                        raise ReadError("Eof")
+                    read_typed(x, kind)
+                    found.append(None)
+                except ReadError as e:
+                    found.append(e.kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*names, out])
+
+    kept = df.select(*names)
+    return kept.transform(in_arrow, run, T.StructType([*kept.schema, T.StructField(out, T.StringType())]))
+
+
+def policy_hash(ident: str, version: str) -> str:
+    """The content hash of a policy's descriptor."""
+    import hashlib
+
+    return "sha256:" + hashlib.sha256(emit({"id": ident, "version": version}).encode()).hexdigest()

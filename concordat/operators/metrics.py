@@ -45,7 +45,7 @@ def route_metrics(fills: DataFrame, results: DataFrame, samples: DataFrame, refe
     zero = lambda *names: [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names]
     given = fills.groupBy("route").agg(F.sum("recorded_calls").alias("calls"), F.sum("schema_violations").alias("violations"), F.sum("repairs").alias("repairs"), F.count_if("accepted").alias("accepted"), F.count("*").alias("fills"))
     ran = results.groupBy("route").agg(F.count("*").alias("executed"), F.count_if(F.col("category") != "target_syntax_failure").alias("parsed"))
-    hits = matched(results, routes.crossJoin(F.broadcast(reference)), ("route", "group_id")).groupBy("route").agg(F.count_if("matched").alias("hits"), F.count("*").alias("expected"))
+    hits = matched(results, routes.crossJoin(reference), ("route", "group_id")).groupBy("route").agg(F.count_if("matched").alias("hits"), F.count("*").alias("expected"))
     same = samples.groupBy("route", "group_id", "print").count().groupBy("route", "group_id").agg(F.sum(F.expr("count * (count - 1) div 2")).alias("same"), F.sum("count").alias("present"))
     agreed = same.join(draws, "route").groupBy("route").agg(F.sum(F.col("same") + F.expr("(k - present) * (k - present - 1) div 2")).alias("agreeing"), F.sum(F.expr("k * (k - 1) div 2")).alias("pairs"))
     names = ("calls", "violations", "repairs", "accepted", "fills", "executed", "parsed", "hits", "expected", "agreeing", "pairs")
@@ -71,7 +71,7 @@ def route_metrics(fills: DataFrame, results: DataFrame, samples: DataFrame, refe
     ).na.fill(0, ["num", "den"])
     odd = reference.where(~F.coalesce(F.col("expected_outcome").isin(*OUTCOMES), F.lit(False)))
     named = odd.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "group_id", "expected_outcome"))), ", ").alias("d")).where("d <> ''")
-    lost = routes.crossJoin(F.broadcast(named)).select("route", F.lit("conflict_verdict_accuracy").alias("metric"), F.concat(F.lit("unrecognized expected_outcome(s): "), "d").alias("detail"))
+    lost = routes.crossJoin(named).select("route", F.lit("conflict_verdict_accuracy").alias("metric"), F.concat(F.lit("unrecognized expected_outcome(s): "), "d").alias("detail"))
     return rows.join(lost, ["route", "metric"], "left_anti").select("route", "metric", "num", "den"), lost
 
 
@@ -81,7 +81,7 @@ def deltas(rows: DataFrame, key: str, baseline: str) -> DataFrame:
     routes = rows.select(key).where(F.col(key) != baseline).distinct()
     base = rows.where(F.col(key) == baseline).select("metric", F.struct("num", "den").alias("b"))
     mine = rows.where(F.col(key) != baseline).select(key, "metric", F.struct("num", "den").alias("a"))
-    both = routes.crossJoin(F.broadcast(base)).join(mine, [key, "metric"], "full")
+    both = routes.crossJoin(base).join(mine, [key, "metric"], "full")
     d = rational.subtract("a", "b")
     return both.select(key, "metric", d["num"].alias("num"), d["den"].alias("den"))
 

@@ -40,7 +40,7 @@ def bindings(seg_spans: DataFrame, lexicon: Lexicon) -> DataFrame:
     table = spark.createDataFrame(rows, "surface string, candidates array<string>, is_first boolean")
     found = seg_spans.select("document_id", "segment_id", "ord", "kind", "reading_order", "region_ids", F.posexplode(text.scan("search_text", list(candidates))).alias("pos", "surface"))
     per = (
-        found.join(F.broadcast(table), "surface")
+        found.join(table, "surface")
         .groupBy("document_id", "segment_id", "ord", "kind", "candidates")
         .agg(F.min(F.struct("reading_order", "pos", "surface", "is_first")).alias("first"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("region_ids")))).alias("region_ids"))
     )

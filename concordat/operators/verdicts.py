@@ -118,3 +118,53 @@ def matched(results: DataFrame, reference: DataFrame, key: tuple[str, ...]) -> D
         F.col("expected_outcome") == "semantic_no_conflict", (F.col("n") > 0) & (F.col("n") == F.col("n_none")) & (~F.coalesce("expected_no_conflict_result", F.lit(False)) | (F.col("closed") >= 1))
     )
     return j.select(*key, "expected_outcome", F.coalesce(hit, F.lit(False)).alias("matched"))
+
+
+# --- checks ----------------------------------------------------------------------------------
+
+
+def artifact_violations(plan: DataFrame, bodies: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(artifact, kind, subject) of everything wrong with compiled artifacts. plan: artifact, n, pair_id,
+    constraint_a_id, constraint_b_id, action_a, action_b, positive_a, positive_b, q1_id, q2_id; bodies:
+    artifact, place (from 0), query_id, body; assertions: artifact, assertion, rule_ids, region_ids."""
+    a, found = "artifact", []
+
+    def add(df: DataFrame, kind: str, subject: Column | str) -> None:
+        found.append(df.select(a, F.lit(kind).alias("kind"), (F.col(subject) if isinstance(subject, str) else subject).cast("string").alias("subject")))
+
+    slots = plan.select(a, F.explode(F.array(F.struct((2 * F.col("n") - 2).cast("long").alias("place"), F.col("q1_id").alias("wanted")), F.struct((2 * F.col("n") - 1).cast("long").alias("place"), F.col("q2_id").alias("wanted")))).alias("s")).select(a, "s.*")
+    counts = plan.groupBy(a).agg((2 * F.count("*")).alias("expected")).join(bodies.groupBy(a).agg(F.count("*").alias("held")), a, "full")
+    add(counts.where(F.coalesce("expected", F.lit(0)) != F.coalesce("held", F.lit(0))), "QueryCount", F.concat_ws(" ", F.coalesce("expected", F.lit(0)).cast("string"), F.coalesce("held", F.lit(0)).cast("string")))
+    add(slots.join(bodies, [a, "place"]).where("wanted <> query_id"), "QuerySlotMismatch", "place")
+    add(bodies.where("coalesce(body, '') = ''"), "EmptyBody", "query_id")
+    add(plan.where("constraint_a_id >= constraint_b_id or action_a <> action_b or positive_a = positive_b"), "PairInvalid", "pair_id")
+    for df, key in ((plan, "pair_id"), (bodies, "query_id"), (assertions, "assertion")):
+        add(df.groupBy(a, key).count().where("count > 1"), "Duplicate", key)
+    for pool in ("rule_ids", "region_ids"):
+        add(assertions.where(F.col(pool) != F.sort_array(F.array_distinct(pool))), "Unsorted", "assertion")
+        add(assertions.where(F.size(pool) == 0), "EmptyAssertionRefs", "assertion")
+    named = F.exists("rule_ids", lambda r: F.col("assertion").isin(F.concat(F.lit("a."), r), F.concat(F.lit("ctx."), r)))
+    add(assertions.where((F.size("rule_ids") > 0) & ~named), "AssertionForm", "assertion")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def result_violations(results: DataFrame) -> DataFrame:
+    """(query_id, kind) of results (query_id, category, verdict, model, core) that contradict themselves."""
+    from concordat.operators.trace import coherent
+
+    core, verdict = F.col("core"), F.coalesce("verdict", F.lit("none"))
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("model").isNotNull() & (verdict != "sat"), F.lit("ModelWithoutSat")),
+            F.when(core.isNotNull() & (verdict != "unsat"), F.lit("CoreWithoutUnsat")),
+            F.when(F.trim("model") == "", F.lit("EmptyModel")),
+            F.when(F.size(core) == 0, F.lit("EmptyCore")),
+            F.when(F.size(F.array_distinct(core)) < F.size(core), F.lit("Duplicate")),
+            F.when(core != F.sort_array(core), F.lit("Unsorted")),
+            F.when(~coherent(), F.lit("CategoryVerdict")),
+        )
+    )
+    return results.select("query_id", F.explode(kinds).alias("kind")).distinct()

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from concordat import schema
 from concordat.functions import canon, rational, text
-from concordat.operators import exceptions, graph, intervals, kb, metrics, pairs, segment, sets, smt
+from concordat.operators import exceptions, graph, intervals, kb, metrics, pairs, sets, smt
 from concordat.session import read_table
-from concordat.sources import html
 
 QUERIES: dict = {}
 
@@ -102,15 +101,6 @@ def unsatisfiable_rules(spark, sf):
     return folded.where(intervals.packed_empty("lo", "hi")).groupBy("id").agg(F.count("*").alias("n_empty"))
 
 
-@query
-def concept_disjoint(spark, sf):
-    """May an order's required flags (on open lines) stand beside its excluded ones?"""
-    lines = read_table(spark, sf, "lineitem")
-    flag = lambda status: F.sort_array(F.collect_set(F.when(F.col("l_linestatus") == status, F.col("l_returnflag"))))
-    per = lines.groupBy("l_orderkey").agg(flag("O").alias("need"), flag("F").alias("bar"))
-    return per.select("l_orderkey", F.array_join("need", ",").alias("need"), F.array_join("bar", ",").alias("bar"), F.array_join(F.sort_array(F.array_union("need", "bar")), ",").alias("both"), (~F.arrays_overlap("need", "bar")).alias("disjoint"))
-
-
 def table_kb(spark: SparkSession, sf: str) -> kb.Kb:
     """A knowledge base with defects, from customers, orders and lines."""
     c, o, ln, n = (read_table(spark, sf, t) for t in ("customer", "orders", "lineitem", "nation"))
@@ -126,11 +116,14 @@ def table_kb(spark: SparkSession, sf: str) -> kb.Kb:
         "certainty": c.where("c_nationkey < 5").select(rule.alias("rule_id"), high_low.alias("certainty")),
         "population": o.where(status.isin("O", "F")).select(stmt.alias("stmt_id"), F.lit("pop.patient").alias("population")),
         "action": o.select(stmt.alias("stmt_id"), F.when(status == "O", "act.administer:drug.abx_a").when(status == "F", "act.administer").otherwise("act.bogus:drug.abx_a").alias("action_key")),
-        "condition": ln.where("l_linenumber = 1").select(
-            F.concat(F.lit("d.bind."), F.col("l_orderkey")).alias("bind_id"), F.concat(F.lit("d.stmt."), F.col("l_orderkey")).alias("stmt_id"), F.when(is_range, "interval").otherwise("concept").alias("tag"), sepsis.alias("concept"),
+        "condition": ln.select(
+            F.concat(F.lit("d.bind."), F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bind_id"), F.concat(F.lit("d.stmt."), F.col("l_orderkey")).alias("stmt_id"), F.when(is_range, "interval").otherwise("concept").alias("tag"), sepsis.alias("concept"),
             F.when(is_range, "q.age_years").alias("quantity"), F.when(is_range, F.col("l_quantity")).cast("decimal(38,18)").alias("bound"), F.when(is_range, F.when(F.col("l_linestatus") == "O", "open").otherwise("ajar")).alias("openness"), F.when(is_range, "lower").alias("side"),
         ),
-        "exception": spark.createDataFrame([], schema.KB["exception"]),
+        "exception": ln.where("l_quantity > 40").select(
+            F.concat(F.lit("d.exc."), F.col("l_orderkey")).alias("exc_id"), F.concat(F.lit("d.stmt."), F.col("l_orderkey") + F.when(F.col("l_tax") > 0.07, 10_000_000).otherwise(0)).alias("stmt_id"), F.when(F.col("l_discount") > 0.08, "other").otherwise("concept").alias("tag"), F.lit("cond.sepsis").alias("concept"),
+            *[F.lit(None).cast(t).alias(c) for c, t in (("quantity", "string"), ("bound", "decimal(38,18)"), ("openness", "string"), ("side", "string"))],
+        ),
         "source": n.select(F.concat(F.lit("d.rule."), F.col("n_nationkey")).alias("id"), F.lit("d").alias("doc_id"), F.array(F.lit(0), F.col("n_regionkey")).alias("regions"), F.lit(None).cast("string").alias("basis")),
     }
 
@@ -224,40 +217,21 @@ def dictionary_scan(spark, sf):
     return docs.groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
 
 
-@query
-def segment_classify(spark, sf):
-    """Lines of documents by ordered markers; lines without one take no number."""
-    docs = read_table(spark, sf, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    kind = segment.classify_line("line", heading=r"^[A-Z0-9]+$", exception=("Licensed under", "@"), recommendation=("the ", " de ", " und "))
-    return sets.counted(lines.withColumn("kind", kind).where("kind is not null"), ["doc_id"], ["pos"], "seg").select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", "seg")
-
-
 @query
 def string_policies(spark, sf):
     docs = read_table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(text.semantic_en_ascii("text"), 256).alias("folded_sha"), text.identifier_ascii("source").alias("source_id"), text.byte_length("text").cast("long").alias("n_bytes"))
 
 
-@query
-def nfkc_policies(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    return docs.select("doc_id", F.sha2(text.semantic_ja("text"), 256).alias("ja_sha"), F.sha2(text.semantic_en("text"), 256).alias("en_sha"))
-
-
 @query
 def text_spans(spark, sf):
-    """First words of documents as spans by byte offsets, cut again from the bytes."""
+    """Every line of every text as a span by byte offsets, cut again from the whole text's bytes."""
     docs = read_table(spark, sf, "documents")
-    end = text.byte_length(F.regexp_extract("text", r"\A\S*", 0)).cast("long")
-    return docs.select("doc_id", F.lit(0).cast("long").alias("start"), end.alias("end"), text.byte_slice("text", 0, end).alias("quoted"), text.sha256(text.byte_slice("text", 0, end)).alias("text_hash"))
-
-
-@query
-def html_spans(spark, sf):
-    """Nodes and spans of pages under their article."""
-    graph_rows = html.extract(read_table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("document_id"), "html"), root="article")
-    return graph_rows.groupBy("document_id", "part").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw_text")), F.lit(0).cast("long")).alias("n_chars"))
+    ends = F.transform("lines", lambda line, i: F.aggregate(F.slice("lines", F.lit(1), i + 1), F.lit(-1).cast("long"), lambda n, x: n + F.octet_length(x) + 1))
+    lines = docs.select("doc_id", "text", F.split("text", "\n").alias("lines"))
+    spans = lines.select("doc_id", "text", F.posexplode(F.arrays_zip("lines", ends.alias("ends"))).alias("line", "s"))
+    start, end = F.col("s.ends") - F.octet_length("s.lines"), F.col("s.ends")
+    return spans.select("doc_id", F.col("line").cast("long").alias("line"), start.alias("start"), end.alias("end"), text.sha256(text.byte_slice("text", start, end)).alias("text_hash"))
 
 
 @query
@@ -275,24 +249,9 @@ def trace_closure(spark, sf):
     return graph.roots(edges, ["conv_id", "turn"], ["conv_id", "up"]).select("conv_id", "turn", F.col("r1").alias("root"), "depth")
 
 
-@query
-def registry_chain(spark, sf):
-    """Turns whose needed input (a system turn for an assistant's) no turn before them made."""
-    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    first = turns.where("role = 'system'").groupBy("conv_id").agg(F.min("turn").alias("made"))
-    need = turns.where("role = 'assistant'").join(first, "conv_id", "left")
-    return need.where("made is null or made >= turn").select("conv_id", "turn")
-
-
 # --- groups ----------------------------------------------------------------------------------
 
 
-@query
-def table_row_bucket(spark, sf):
-    lines = read_table(spark, sf, "lineitem")
-    return lines.groupBy("l_orderkey", F.col("l_linestatus").alias("row")).agg(F.bool_and(F.col("l_returnflag") == "N").alias("all_header"), F.min("l_linenumber").alias("first_place"), F.count("*").alias("cells"))
-
-
 @query
 def slot_resolution(spark, sf):
     events = read_table(spark, sf, "events")
@@ -301,14 +260,6 @@ def slot_resolution(spark, sf):
     return kinds.select("user_id", F.size("kinds").cast("long").alias("n"), status.alias("status"), value.alias("value"), F.array_min("kinds").alias("lowest"))
 
 
-@query
-def interval_lowering(spark, sf):
-    """Nations of low regions stand for a range of keys; others pass as they are."""
-    s, n = read_table(spark, sf, "supplier"), read_table(spark, sf, "nation")
-    table = n.where("n_regionkey < 2").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("interval ge "), F.col("n_nationkey")).alias("lowered"))
-    return s.join(table, "s_nationkey", "left").select("s_suppkey", F.coalesce("lowered", F.concat(F.lit("concept "), F.col("s_nationkey"))).alias("atom"))
-
-
 @query
 def counter_ids(spark, sf):
     lines = read_table(spark, sf, "lineitem").where("l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -351,23 +302,6 @@ def severity_fold(spark, sf):
     return per.select("user_id", F.col("rank").cast("long").alias("rank"), metrics.outcome_of("rank", schema.OUTCOMES).alias("outcome"))
 
 
-def event_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    events = read_table(spark, sf, "events").withColumn("route", F.col("event_type"))
-    per = events.groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.count_if(F.col("value") <= 0).alias("none"), F.count_distinct("user_id").alias("users"))
-    return metrics.unpivot(per, "route", {"acceptance_rate": rational.ratio("high", "n"), "recorded_call_count": rational.count("n"), "schema_valid_rate": rational.ratio(F.col("n") - F.col("none"), "n"), "repair_rate": rational.ratio("none", "none"), "users_per_call": rational.ratio("users", "n")})
-
-
-@query
-def route_metrics(spark, sf):
-    """den 0: not applicable."""
-    return event_metrics(spark, sf).na.fill(0, ["num", "den"])
-
-
-@query
-def route_deltas(spark, sf):
-    return metrics.deltas(event_metrics(spark, sf), "route", "view").na.fill(0, ["num", "den"])
-
-
 def day_prints(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     events = read_table(spark, sf, "events")
     prints = events.groupBy("user_id", F.weekday("ts").alias("sample")).agg(F.array_join(F.sort_array(F.collect_set("event_type")), "\n").alias("print"))
@@ -386,31 +320,6 @@ def k_sample_convergence(spark, sf):
     return metrics.convergence(metrics.agreeing_pairs(prints, users, "user_id", 7))
 
 
-@query
-def verdict_accuracy(spark, sf):
-    labels, docs = read_table(spark, sf, "labels"), read_table(spark, sf, "documents")
-    seen = docs.select("doc_id", (F.col("n_chars") > 1500).alias("conflict"))
-    per = labels.join(seen, "doc_id", "left").withColumn("ok", F.coalesce(F.col("conflict") == (F.col("quality") == 1), F.lit(False)))
-    total = per.groupBy("toxic").agg(F.count_if("ok").alias("matched"), F.count("*").alias("groups"))
-    f = rational.ratio("matched", "groups")
-    return total.select("toxic", "matched", "groups", f["num"].alias("num"), f["den"].alias("den"))
-
-
-@query
-def component_index(spark, sf):
-    ln, p = read_table(spark, sf, "lineitem"), read_table(spark, sf, "part")
-    uses = ln.select(F.col("l_partkey").cast("string").alias("component"), F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("owner")).union(p.select(F.col("p_partkey").cast("string"), F.concat(F.lit("brand:"), F.col("p_brand"))))
-    per = uses.groupBy("component").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
-    return per.select("component", F.size("owners").cast("long").alias("n_owners"), text.sha256(F.array_join("owners", "\n")).alias("owners_hash"))
-
-
-@query
-def lineage_index(spark, sf):
-    r, n, c, o = (read_table(spark, sf, t) for t in ("region", "nation", "customer", "orders"))
-    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, n["n_nationkey"] == c["c_nationkey"]).join(r, r["r_regionkey"] == n["n_regionkey"])
-    return joined.select("o_orderkey", F.concat_ws("/", "r_name", "n_name", "c_name").alias("chain"))
-
-
 @query
 def failure_taxonomy(spark, sf):
     events = read_table(spark, sf, "events")
@@ -419,34 +328,6 @@ def failure_taxonomy(spark, sf):
     return per.select("user_id", F.array_join(F.transform("taxonomy", lambda x: F.concat_ws(":", x["code"], x["n"])), ",").alias("taxonomy"))
 
 
-@query
-def diagnostic_histogram(spark, sf):
-    return read_table(spark, sf, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"))
-
-
-@query
-def cassette_lookup(spark, sf):
-    """Recorded outputs by (route, source, seed), found again and decoded."""
-    b = read_table(spark, sf, "benchmark")
-    tape = b.select(F.lit("route.a").alias("route"), F.col("item_id").alias("source"), (F.col("item_id") % 3).alias("seed"), text.hex_text("text").alias("output_hex"))
-    asked = b.select(F.lit("route.a").alias("route"), F.col("item_id").alias("source"), F.lit(1).cast("long").alias("seed"))
-    return asked.join(tape, ["route", "source", "seed"]).select("source", F.length("output_hex").cast("long").alias("n_hex"), text.unhex_text("output_hex").alias("output"))
-
-
-@query
-def json_payload(spark, sf):
-    events = read_table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return events.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
-
-
-@query
-def strict_json_read(spark, sf):
-    """Payloads whose text is the canonical form of what it says."""
-    events = read_table(spark, sf, "events").select("event_id", "props")
-    again = canon.object_of({"k": F.get_json_object("props", "$.k")})
-    return events.select("event_id", (again == F.replace("props", F.lit(" "), F.lit(""))).alias("canonical"))
-
-
 @query
 def key_coherence(spark, sf):
     """Tables' keys that repeat, aren't dense or point nowhere."""

@@ -37,10 +37,6 @@ ends AS (SELECT a_id, b_id, quantity, max(lo) AS lo, min(hi) AS hi FROM
   (SELECT a_id, b_id, quantity, lo, hi FROM p JOIN f ON f.id = a_id UNION ALL SELECT a_id, b_id, quantity, lo, hi FROM p JOIN f ON f.id = b_id) GROUP BY 1, 2, 3)
 SELECT group_id, action_key, a_id, b_id FROM p WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.a_id = p.a_id AND e.b_id = p.b_id AND {_empty('e.lo', 'e.hi')})"""
 ORACLES["unsatisfiable_rules"] = f"SELECT id, count(*) AS n_empty FROM ({_FOLD}) WHERE {_empty('lo', 'hi')} GROUP BY id"
-ORACLES["concept_disjoint"] = """
-WITH g AS (SELECT l_orderkey, coalesce(list_sort(list_distinct(list(l_returnflag) FILTER (l_linestatus = 'O'))), []) AS need, coalesce(list_sort(list_distinct(list(l_returnflag) FILTER (l_linestatus = 'F'))), []) AS bar FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string(need, ',') AS need, array_to_string(bar, ',') AS bar, array_to_string(list_sort(list_distinct(list_concat(need, bar))), ',') AS both, NOT list_has_any(need, bar) AS disjoint FROM g"""
-
 _KB = """
 rule AS (SELECT 'd.rule.' || o_custkey AS rule_id, 'd.stmt.' || o_orderkey AS stmt_id FROM orders),
 direction AS (SELECT 'd.rule.' || c_custkey AS rule_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'for' WHEN 'MACHINERY' THEN 'sideways' ELSE 'against' END AS direction FROM customer),
@@ -48,7 +44,8 @@ strength AS (SELECT 'd.rule.' || c_custkey AS rule_id, 'strong' AS strength FROM
 certainty AS (SELECT 'd.rule.' || c_custkey AS rule_id, v AS certainty FROM customer, (VALUES ('high'), ('low')) AS t(v) WHERE c_nationkey < 5),
 population AS (SELECT 'd.stmt.' || o_orderkey AS stmt_id FROM orders WHERE o_orderstatus IN ('O', 'F')),
 action AS (SELECT 'd.stmt.' || o_orderkey AS stmt_id, o_orderstatus AS s FROM orders),
-condition AS (SELECT 'd.bind.' || l_orderkey AS bind_id, 'd.stmt.' || l_orderkey AS stmt_id, l_returnflag AS f, l_linestatus AS s FROM lineitem WHERE l_linenumber = 1),
+condition AS (SELECT 'd.bind.' || (l_orderkey * 10 + l_linenumber) AS bind_id, 'd.stmt.' || l_orderkey AS stmt_id, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+exception AS (SELECT 'd.exc.' || l_orderkey AS exc_id, 'd.stmt.' || (l_orderkey + CASE WHEN l_tax > 0.07 THEN 10000000 ELSE 0 END) AS stmt_id, l_discount > 0.08 AS odd FROM lineitem WHERE l_quantity > 40),
 source AS (SELECT 'd.rule.' || n_nationkey AS id, n_regionkey AS r FROM nation)"""
 ORACLES["kb_violations"] = f"""
 WITH {_KB}, v AS (
@@ -63,7 +60,9 @@ UNION ALL SELECT DISTINCT 'unknown_action_kind', stmt_id FROM action WHERE s NOT
 UNION ALL SELECT DISTINCT 'unknown_concept', bind_id FROM condition WHERE f = 'R'
 UNION ALL SELECT DISTINCT 'bad_interval_openness', bind_id FROM condition WHERE f NOT IN ('A', 'R') AND s <> 'O'
 UNION ALL SELECT bind_id AS k, b FROM (SELECT 'duplicate_bind' AS bind_id, bind_id AS b FROM condition GROUP BY bind_id HAVING count(*) > 1)
-UNION ALL SELECT DISTINCT 'dangling_stmt_ref', stmt_id FROM condition WHERE stmt_id NOT IN (SELECT stmt_id FROM rule)
+UNION ALL SELECT DISTINCT 'dangling_stmt_ref', stmt_id FROM (SELECT stmt_id FROM condition UNION ALL SELECT stmt_id FROM exception) WHERE stmt_id NOT IN (SELECT stmt_id FROM rule)
+UNION ALL SELECT DISTINCT 'malformed_atom', exc_id FROM exception WHERE odd
+UNION ALL SELECT 'duplicate_exception', exc_id FROM exception GROUP BY exc_id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'malformed_source', id FROM source WHERE r <= 0
 UNION ALL SELECT DISTINCT 'dangling_source_ref', id FROM source WHERE r > 0 AND id NOT IN (SELECT rule_id FROM rule))
 SELECT kind, count(*) AS n FROM v GROUP BY kind"""
@@ -101,18 +100,10 @@ SELECT id, CASE WHEN len(atoms) = 1 THEN atoms[1] ELSE '(and ' || array_to_strin
 
 ORACLES["dictionary_scan"] = """
 SELECT doc_id, surface, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(Licensed under|password|secret|de la|that|tion|and|the|de)', 1)) AS surface FROM documents) GROUP BY 1, 2"""
-ORACLES["segment_classify"] = """
-WITH l AS (SELECT doc_id, p - 1 AS pos, ls[p] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(p)),
-k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^[A-Z0-9]+$') THEN 'heading' WHEN contains(line, 'Licensed under') OR contains(line, '@') THEN 'exception'
-  WHEN contains(line, 'the ') OR contains(line, ' de ') OR contains(line, ' und ') THEN 'recommendation' END AS kind FROM l)
-SELECT doc_id, pos, kind, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seg FROM k WHERE kind IS NOT NULL"""
 _WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 ORACLES["string_policies"] = f"""
 SELECT doc_id, sha256(translate(translate(trim(regexp_replace(text, '{_WHITE}', ' ', 'g')), '、。', ',.'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS folded_sha,
   CASE WHEN regexp_full_match(source, '[a-z0-9_:./-]+') THEN source END AS source_id, strlen(text) AS n_bytes FROM documents"""
-ORACLES["text_spans"] = r"""
-WITH w AS (SELECT doc_id, regexp_extract(text, '^[^ \t\n\x0B\f\r]*') AS w FROM documents)
-SELECT doc_id, CAST(0 AS BIGINT) AS start, strlen(w) AS "end", w AS quoted, 'sha256:' || sha256(w) AS text_hash FROM w"""
 ORACLES["nearest_preceding"] = """
 SELECT conv_id, turn, coalesce(user_turn, -1) AS user_turn FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations) WHERE role = 'assistant'"""
 ORACLES["trace_closure"] = """
@@ -120,15 +111,9 @@ WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations),
 r AS (SELECT conv_id, turn, turn AS root, CAST(0 AS BIGINT) AS depth FROM t AS a WHERE NOT EXISTS (SELECT 1 FROM t AS b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)
   UNION ALL SELECT t.conv_id, t.turn, r.root, r.depth + 1 FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1)
 SELECT * FROM r"""
-ORACLES["registry_chain"] = """
-SELECT conv_id, turn FROM conversations c WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'system' AND u.turn < c.turn)"""
-
-ORACLES["table_row_bucket"] = "SELECT l_orderkey, l_linestatus AS row, bool_and(l_returnflag = 'N') AS all_header, min(l_linenumber) AS first_place, count(*) AS cells FROM lineitem GROUP BY 1, 2"
 ORACLES["slot_resolution"] = """
 WITH k AS (SELECT user_id, coalesce(list_sort(list_distinct(list(event_type) FILTER (event_type IN ('purchase', 'error') AND value > 50))), []) AS k FROM events GROUP BY 1)
 SELECT user_id, len(k) AS n, CASE len(k) WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status, CASE WHEN len(k) = 1 THEN k[1] END AS value, k[1] AS lowest FROM k"""
-ORACLES["interval_lowering"] = """
-SELECT s_suppkey, coalesce('interval ge ' || n_nationkey, 'concept ' || s_nationkey) AS atom FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON s_nationkey = n_nationkey"""
 ORACLES["counter_ids"] = """
 SELECT l_orderkey, l_linenumber, l_orderkey || '.seg.' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) AS seg_id FROM lineitem WHERE l_returnflag <> 'N'"""
 ORACLES["content_hash"] = """
@@ -151,35 +136,20 @@ WITH e AS (SELECT event_type AS route, count(*) AS n, count(*) FILTER (value > 5
 m AS (SELECT route, 'acceptance_rate' AS metric, high AS a, n AS b FROM e UNION ALL SELECT route, 'recorded_call_count', n, 1 FROM e UNION ALL SELECT route, 'schema_valid_rate', n - none, n FROM e
   UNION ALL SELECT route, 'repair_rate', none, none FROM e UNION ALL SELECT route, 'users_per_call', users, n FROM e),
 r AS (SELECT route, metric, CASE WHEN b <> 0 THEN a // gcd(a, b) END AS num, CASE WHEN b <> 0 THEN b // gcd(a, b) END AS den FROM m)"""
-ORACLES["route_metrics"] = f"{_METRICS} SELECT route, metric, coalesce(num, 0) AS num, coalesce(den, 0) AS den FROM r"
-ORACLES["route_deltas"] = f"""{_METRICS},
-j AS (SELECT x.route, x.metric, x.num * y.den - y.num * x.den AS a, x.den * y.den AS b FROM r x JOIN r y ON x.metric = y.metric AND y.route = 'view' WHERE x.route <> 'view')
-SELECT route, metric, coalesce(CASE WHEN b <> 0 THEN a // gcd(a, b) END, 0) AS num, coalesce(CASE WHEN b <> 0 THEN b // gcd(a, b) END, 0) AS den FROM j"""
 _AGREE = """
 WITH p AS (SELECT user_id, isodow(ts) AS s, list_sort(list_distinct(list(event_type))) AS print FROM events GROUP BY 1, 2),
 g AS (SELECT u.user_id, d.s, print FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(1, 8)) AS s) d LEFT JOIN p ON p.user_id = u.user_id AND p.s = d.s),
 a AS (SELECT x.user_id, count(*) FILTER (x.print IS NOT DISTINCT FROM y.print) AS agreeing, count(*) AS pairs FROM g x JOIN g y ON x.user_id = y.user_id AND x.s < y.s GROUP BY 1)"""
 ORACLES["sample_agreement"] = f"{_AGREE} SELECT * FROM a"
 ORACLES["k_sample_convergence"] = f"{_AGREE}, t AS (SELECT sum(agreeing)::BIGINT AS a, sum(pairs)::BIGINT AS b FROM a) SELECT a // gcd(a, b) AS num, b // gcd(a, b) AS den FROM t"
-ORACLES["verdict_accuracy"] = """
-WITH j AS (SELECT toxic, coalesce((n_chars > 1500) = (quality = 1), false) AS ok FROM labels LEFT JOIN documents USING (doc_id)),
-t AS (SELECT toxic, count(*) FILTER (ok) AS matched, count(*) AS groups FROM j GROUP BY 1)
-SELECT toxic, matched, groups, matched // gcd(matched, groups) AS num, groups // gcd(matched, groups) AS den FROM t"""
-ORACLES["component_index"] = """
-WITH u AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS component, 'supplier:' || l_suppkey AS owner FROM lineitem UNION SELECT CAST(p_partkey AS VARCHAR), 'brand:' || p_brand FROM part)
-SELECT component, count(*) AS n_owners, 'sha256:' || sha256(string_agg(owner, chr(10) ORDER BY owner)) AS owners_hash FROM u GROUP BY 1"""
-ORACLES["lineage_index"] = """
-SELECT o_orderkey, r_name || '/' || n_name || '/' || c_name AS chain FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
 ORACLES["failure_taxonomy"] = """
 WITH b AS (SELECT user_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2)
 SELECT u.user_id, coalesce(string_agg(code || ':' || n, ',' ORDER BY code), '') AS taxonomy FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN b ON b.user_id = u.user_id GROUP BY 1"""
-ORACLES["diagnostic_histogram"] = "SELECT event_type AS code, count(*) AS n FROM events GROUP BY 1"
-ORACLES["cassette_lookup"] = "SELECT item_id AS source, 2 * strlen(text) AS n_hex, text AS output FROM benchmark WHERE item_id % 3 = 1"
-ORACLES["json_payload"] = """
-SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS low, max(k) AS high FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1"""
-ORACLES["strict_json_read"] = """
-SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' = replace(props, ' ', '') AS canonical FROM events"""
 ORACLES["key_coherence"] = """
 SELECT 'repeated line' AS what, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'customer without order', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
 UNION ALL SELECT 'customer without nation', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)"""
+ORACLES["text_spans"] = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, p - 1 AS line, ls[p] AS x, list_sum(list_transform(ls[1:p], lambda y: strlen(y) + 1)) - 1 AS e FROM l, unnest(range(1, len(ls) + 1)) AS u(p))
+SELECT doc_id, line, CAST(e - strlen(x) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", 'sha256:' || sha256(x) AS text_hash FROM e"""

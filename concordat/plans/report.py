@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from concordat.functions import canon, text
 from concordat.operators import metrics, sets
 
-#: Wording of the claims a synthetic run may make.
+# Fixed value: wording of the claims a synthetic run may make.
 WORDING = "synthetic test source measurement"
 
 
@@ -32,7 +33,7 @@ def violations(report: dict) -> list[str]:
     out, seen = [], set()
     for part in ("findings", "no_conflict_results"):
         ids = [e["finding_id"] for e in report[part]]
-        out += [f"DuplicateFindingId {i}" for i in sorted({i for i in ids if ids.count(i) > 1 or i in seen})]
+        out += [f"DuplicateFindingId {i}" for i, n in sorted(Counter(ids).items()) if n > 1 or i in seen]
         seen |= set(ids)
         if ids != sorted(ids):
             out.append(f"SetOrder {part}")
@@ -59,7 +60,7 @@ def _table_violations(table: dict) -> list[str]:
     """What a reader would refuse of a metric table: baseline, routes and deltas, each of both a
     list of route and rows, where rows have metric, num and den."""
     routes, listed = [r["route"] for r in table["routes"]], [r["route"] for r in table["deltas"]]
-    out = [f"DuplicateRoute {r}" for r in sorted({r for r in routes if routes.count(r) > 1})]
+    out = [f"DuplicateRoute {r}" for r in sorted(r for r, n in Counter(routes).items() if n > 1)]
     out += [] if table["baseline"] in routes else [f"BaselineMissing {table['baseline']}"]
     out += [] if [r for r in routes if r != table["baseline"]] == listed else ["DeltaTableMismatch"]
     for r in [*table["routes"], *table["deltas"]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from concordat.functions import canon
@@ -22,12 +22,14 @@ def inside(folder: str, path: str) -> str:
 
 def land(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df written as Parquet under the run's folder and read back; the rows read must be those
-    written (counts and order-free checksums agree), and they are what later stages use."""
+    written (counts and order-free checksums agree), and they are what later stages use. The checksum
+    of what is written is observed while it is."""
     path = inside(folder, name)
-    df.write.mode("errorifexists").parquet(path)
+    marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")).alias("h")]
+    seen = Observation()
+    df.observe(seen, *marks).write.mode("errorifexists").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    mark = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(x.columns)))).cast("decimal(38,0)")).alias("h")).first()
-    if mark(df) != mark(back):
+    if seen.get != back.agg(*marks).first().asDict():
         raise SinkError(f"{name} doesn't read back as written")
     return back
 
@@ -39,14 +41,27 @@ def query_texts(found: DataFrame) -> DataFrame:
     return rows.select("group_id", F.concat(F.lit("groups/"), "group_id", F.lit("/smt/"), F.col("x.query_id"), F.lit(".smt2")).alias("path"), "x.body")
 
 
-def write_queries(found: DataFrame, folder: str) -> None:
-    """Query texts as rows of text files, one folder per query file."""
-    query_texts(found).select("path", F.col("body").alias("value")).write.mode("errorifexists").partitionBy("path").text(inside(folder, "queries"))
-
-
-def write_facts(base: kb.Kb, folder: str, name: str = "facts") -> None:
-    """The fact file: sorted, each line once."""
-    kb.fact_lines(base).coalesce(1).select(F.col("line").alias("value")).write.mode("errorifexists").text(inside(folder, name))
+def write_queries(found: DataFrame, folder: str) -> int:
+    """Each query text byte for byte as its own file, groups/<group>/smt/<query>.smt2, and how many.
+    Rows come to the driver partition by partition; files go through the folder's file system."""
+    spark = found.sparkSession
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = 0
+    for r in query_texts(found).toLocalIterator():
+        out = fs.create(path_of(inside(folder, r["path"])), False)
+        try:
+            out.write(bytearray(r["body"].encode()))
+        finally:
+            out.close()
+        n += 1
+    return n
+
+
+def write_facts(base: kb.Kb, folder: str, name: str = "facts", one_file: bool = False) -> None:
+    """The fact lines, sorted, each once: part files in order, or one file for a small base."""
+    lines = kb.fact_lines(base)
+    (lines.coalesce(1) if one_file else lines).select(F.col("line").alias("value")).write.mode("errorifexists").text(inside(folder, name))
 
 
 def statement_schema(lexicon: Lexicon) -> str:

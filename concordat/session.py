@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,7 +32,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) a local one is set.
+    Only a local master, where all is one machine, may leave it unset; it gets a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -38,11 +40,34 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
     if existing is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="concordat-"))
         existing = sc.getCheckpointDir()
     return existing.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/concordat-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again: cuts the lineage, and any
+    executor may be lost afterwards. Returns the table and its path."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written() that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

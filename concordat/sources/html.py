@@ -298,10 +298,14 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_files(spark, paths: dict[str, str]) -> DataFrame:
-    """(document_id, html) of files by document id, read by Spark. A file that can't be read fails
-    the read; callers check paths first where a document may be missing."""
-    frames = [spark.read.text(p, wholetext=True).select(F.lit(i).alias("document_id"), F.col("value").alias("html")) for i, p in sorted(paths.items())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """(document_id, html) of files by document id: one read of all files, joined to the ids by path. A
+    file that can't be read fails the read; callers check paths first where a document may be missing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def qualified(path: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).makeQualified(p).toString()
+
+    ids = spark.createDataFrame([(i, qualified(p)) for i, p in sorted(paths.items())], "document_id string, path string")
+    files = spark.read.format("binaryFile").load(sorted(set(paths.values())))
+    return ids.join(files, "path").select("document_id", F.decode("content", "UTF-8").alias("html"))

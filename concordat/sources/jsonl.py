@@ -14,18 +14,29 @@ class LogError(ValueError):
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a finished log. The last line must be ended and every line be an object of the
-    schema's fields; a line that isn't fails the read."""
-    tails = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", F.expr("right(cast(content as string), 1)").alias("tail"))
-    if not tails.where(F.col("tail") != "\n").isEmpty():
-        raise LogError(f"unterminated line in {path}")
+    """Records of a finished log. The last line of each file must be ended and every line be an object
+    of the schema's fields; a line that isn't fails the read. Of a file only the last byte is looked at."""
+    for r in spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length").collect():
+        if last_byte(spark, r["path"], r["length"]) != 0x0A:
+            raise LogError(f"unterminated line in {path}")
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def write(lines: DataFrame, path: str, order: str = "sequence", line: str = "line") -> None:
-    """Rendered lines to one file in order; an existing log isn't overwritten. A log of a run has a
-    line per document and stage, so one writer is enough."""
-    lines.coalesce(1).sortWithinPartitions(order).select(F.col(line).alias("value")).write.mode("errorifexists").text(path)
+def last_byte(spark: SparkSession, path: str, length: int) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        stream.seek(length - 1)
+        return stream.read()
+    finally:
+        stream.close()
+
+
+def write(lines: DataFrame, path: str, order: str = "sequence", line: str = "line", files: int = 1) -> None:
+    """Rendered lines in order, to one file or to several whose names are in order; an existing log
+    isn't overwritten."""
+    dealt = lines.coalesce(1) if files == 1 else lines.repartitionByRange(files, order)
+    dealt.sortWithinPartitions(order).select(F.col(line).alias("value")).write.mode("errorifexists").text(path)
 
 
 def stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:

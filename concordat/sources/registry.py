@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID = re.compile(r"\A[a-z][a-z0-9_.:-]*\Z")
@@ -142,7 +143,7 @@ def check(corpora: list[dict], pipelines: list[dict], stages: list[dict], experi
     found: list[str] = []
 
     def repeated(kind: str, ids: list[str]) -> None:
-        found.extend(f"duplicate {kind} {i}" for i in sorted({i for i in ids if ids.count(i) > 1}))
+        found.extend(f"duplicate {kind} {i}" for i, n in sorted(Counter(ids).items()) if n > 1)
 
     corpus, stage, pipe = ({e["id"] for e in x} for x in (corpora, stages, pipelines))
     repeated("corpus", [e["id"] for e in corpora])
@@ -190,6 +191,12 @@ def safe_path(path: str) -> bool:
     return bool(path) and not path.startswith("/") and all(p not in ("", ".", "..") for p in parts)
 
 
+def is_safe_path(path: Column | str) -> Column:
+    """safe_path() of a column; null is unsafe."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.coalesce((c != "") & ~F.exists(F.split(c, "/"), lambda p: p.isin("", ".", "..")), F.lit(False))
+
+
 def chain_breaks(stages: DataFrame) -> DataFrame:
     """(pipeline, ord, kind) of inputs that no earlier stage of the pipeline makes. stages:
     pipeline, ord, inputs, outputs; any number of pipelines, one anti-join."""

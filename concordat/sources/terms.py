@@ -29,6 +29,18 @@ def entry_lines(forms: DataFrame) -> DataFrame:
     return forms.select(F.concat("form", F.lit("("), F.concat_ws(", ", q("surface"), q("lemma"), F.col("gender")), F.lit(").")).alias("line")).distinct().orderBy("line")
 
 
+def read_lines(lines: DataFrame) -> DataFrame:
+    """(form, surface, lemma, gender) of the lines of a user lexicon (column `line`); comments and blank
+    lines drop out, a line that is no entry comes with a null form."""
+    word = r"(?:'((?:[^'\\\\]|\\\\.)*)'|([a-z][a-z0-9_]*))"
+    entry = rf"\A([a-z_]+)\({word}, {word}(?:, ([a-z]+))?\)\.\z"
+    part = lambda k: F.regexp_extract("line", entry, k)
+    either = lambda a, b: F.when(part(a) != "", part(a)).otherwise(part(b))
+    given = lines.select(F.trim("line").alias("line")).where("line <> '' and not startswith(line, '%')")
+    ok = F.col("line").rlike(entry)
+    return given.select(F.when(ok, part(1)).alias("form"), F.when(ok, either(2, 3)).alias("surface"), F.when(ok, either(4, 5)).alias("lemma"), F.when(ok & (part(6) != ""), part(6)).alias("gender"))
+
+
 def integrity(table: DataFrame) -> DataFrame:
     """(problem, subject): ids of the closed vocabulary without a surface, surfaces of unknown ids,
     and surfaces that stand for more than one id."""
