@@ -7,7 +7,6 @@ so that memory follows the largest single text and never a whole partition.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.session import shared_dir
+from concordat.session import drop_written, fresh_path, written
 
 #: Bytes of text worked on at once.
 GROUP_BYTES = 1 << 19
@@ -24,20 +23,11 @@ GROUP_BYTES = 1 << 19
 # --- written tables -------------------------------------------------------------------------
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, and any
-    executor may be lost afterwards. Returns the table and its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/concordat-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Deletes a table of written() that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drops a table of the catalog with a path of its own, and its files."""
+    path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {name}")
+    drop_written(spark, path)
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

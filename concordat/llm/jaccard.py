@@ -3,13 +3,16 @@
 A document is the set of its distinct word shingles. The hash space is cut into cells; a cell of
 a sketch is the XOR of the hashes in it. A shingle that two sets don't share changes one cell, so
 the count of unequal cells is a lower bound of the symmetric difference. Sets with a Jaccard
-similarity of p/q or more differ in at most D = (q - p)(a + b) / (q + p) shingles. Sketches of a
-size band have more than D cells, so (pigeonhole) two similar sets agree in a cell: documents
-are joined on (band, cell, word), then verified exactly on their hashed shingles.
+similarity of p/q or more differ in at most D = (q - p)(a + b) / (q + p) shingles, and a set of a
+shingles in at most D(a) from any partner not smaller. Sketches of a size band have more than D cells;
+documents are joined on (band, cell, word), then verified exactly on their hashed shingles.
 
-Empty cells say nothing. A document with so many of them that the pigeonhole might hold only
-for empty cells also joins under further hash seeds; both sides of such a pair do, so no pair is
-lost. Documents also carry a bit sketch (one flipped bit per shingle) as a cheap check.
+A document gives keys for its first D(a) + 1 cells that aren't empty, no more. Take the shorter of the
+stretches of cells that two similar sets go through: it has at least D + 1 non-empty cells of that
+set, of which at most D differ (pigeonhole), so both agree in a cell there that isn't empty. A set that
+has too few such cells gives all of them and those under a further hash seed, and so on; both sides of
+a pair do, so no pair is lost. Documents also carry a bit sketch (one flipped bit per shingle) as a
+cheap check.
 
 Groups: identical sets are drawn together by digest, and of those in one task only one spreads its
 keys. Keys that several documents have are found by partial aggregation, then joined. Every key then
@@ -26,6 +29,7 @@ Shingles and sets are compared by 64-bit and 128-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm.common import ASCII_LOWER, SPACED_WORD, byte_words, components, drop_written, list_column, mix64, text_groups, written
+from concordat.llm.common import ASCII_LOWER, SPACED_WORD, byte_words, components, drop_table, drop_written, fresh_path, list_column, mix64, text_groups, written
 from concordat.session import in_arrow, read_table
 
 NAME = "op1_ngram_jaccard"
@@ -110,13 +114,11 @@ def cell_keys(u: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.nda
             v = u if not seed else np.sort(mix64(u + _U(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)))
             cell = ((v >> _U(32)) * _U(cells)) >> _U(32)
             start = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
-            word = np.bitwise_xor.reduceat(v, start)
-            tag = mix64(cell[start] + _U((high << 8 | seed) << 24))
-            out.append(mix64(word ^ tag))
-            empty = cells - len(start)
-            if empty < cells - apart:
+            word = np.bitwise_xor.reduceat(v, start)[: apart + 1]
+            out.append(mix64(word ^ mix64(cell[start[: apart + 1]] + _U((high << 8 | seed) << 24))))
+            if len(word) > apart:
                 break
-        else:
+        else:  # cells that both leave empty count too
             blank = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell[start])
             out.append(mix64(mix64(blank + _U((high << 8 | SEEDS) << 24))))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
@@ -166,8 +168,11 @@ def features(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] =
     return docs.transform(in_arrow, run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def shingled(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sketch, s) of the wanted documents: bit sketch, and hashes of the set as bytes."""
+def shingled(docs: DataFrame, wanted: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """(doc_id, n, sketch, s) of the wanted documents: bit sketch, and hashes of the set as bytes. A
+    table in buckets by doc_id, as the texts are dealt anyway, so joins with it don't shuffle it; and
+    its name."""
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +184,12 @@ def shingled(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n", "sketch", "s"],
                 )
 
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").distinct()
-    return texts.transform(in_arrow, run, "doc_id long, n long, sketch array<long>, s binary").where("n > 0")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.repartition(buckets, "doc_id").join(wanted, "doc_id", "left_semi").select("doc_id", "text").distinct()
+    sets = texts.transform(in_arrow, run, "doc_id long, n long, sketch array<long>, s binary").where("n > 0")
+    name = f"concordat_{uuid.uuid4().hex}"
+    sets.write.bucketBy(buckets, "doc_id").option("path", fresh_path(spark, "shingles")).saveAsTable(name)
+    return spark.table(name), name
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -299,7 +308,8 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[i
     links of similar documents."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base, _ = written(features(docs, size, similarity), "sets")
+    keyed, keyed_path = written(features(docs, size, similarity), "keys")
+    base, _ = written(keyed.drop("keys"), "sets")
     known = base.where("doc_id is not null and n > 0")
 
     # identical sets: the smallest document stands for all
@@ -308,19 +318,21 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[i
     rep, rep_path = written(rep, "identical")
 
     # keys that several documents share
-    keyed = known.select(F.explode("keys").alias("key"), "doc_id")
-    twice = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key")
+    keyed = keyed.where("doc_id is not null").select(F.explode("keys").alias("key"), "doc_id")
+    twice = keyed.groupBy("key").count().where("count > 1").select("key")
     held = keyed.join(twice, "key").join(rep, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
     held, held_path = written(held, "held")
     lows = held.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key", "low")
     shared, shared_path = written(held.join(lows, "key").select("key", "low", "doc_id"), "shared")
+    drop_written(spark, keyed_path)
     drop_written(spark, held_path)
-    sets, sets_path = written(shingled(docs, shared.select("doc_id").distinct(), size), "shingles")
+    sets, sets_name = shingled(docs, shared.select("doc_id").distinct(), size)
     meta = sets.select("doc_id", "n", "sketch")
 
     same = rep.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     star = shared.where("low <> doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links, links_path = written(verified(near_enough(star, meta, similarity), sets, similarity), "links")
+    star, star_path = written(near_enough(star, meta, similarity), "pairs")
+    links, links_path = written(verified(star, sets, similarity), "links")
     comp, comp_path = written(components(links), "components")
 
     # keys that still hold several components: all pairs but those within a component
@@ -336,7 +348,8 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similarity: tuple[i
     rest, rest_path = written(block_pairs(spread, similarity), "pairs")
     more, more_path = written(verified(rest, sets, similarity), "links")
     final = components(same.union(links).union(more))
-    for p in (rep_path, shared_path, sets_path, links_path, comp_path, rest_path, more_path):
+    drop_table(spark, sets_name)
+    for p in (rep_path, shared_path, star_path, links_path, comp_path, rest_path, more_path):
         drop_written(spark, p)
     return base.select("doc_id", "n").join(final, base["doc_id"] == final["v"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
