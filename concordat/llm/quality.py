@@ -201,7 +201,8 @@ def frequent(column: pa.ChunkedArray, buckets: int = 1 << 20, step: int = 1 << 1
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evidence:
-    """Evidence from labels (doc_id, quality, toxic) of documents (doc_id, text)."""
+    """Evidence from labels (doc_id, quality, toxic) of documents (doc_id, text). The labels used are
+    at most `most` rows of three numbers, so they are broadcast."""
     few = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic").orderBy(F.xxhash64(F.lit("label"), "doc_id"), "doc_id", "quality", "toxic").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Evid
                     names=["figures", "words", "low", "toxic"],
                 )
 
-    found = docs.select("doc_id", "text").join(few.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(few.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
     rows = found.select("text", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") != 0).cast("int").alias("toxic"))
     table = rows.transform(in_arrow, run, "figures array<double>, words array<int>, low int, toxic int").toArrow()
     if not table.num_rows:
