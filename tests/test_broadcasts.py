@@ -1,5 +1,7 @@
 """No join of the layered run broadcasts a table whose files are small and whose rows aren't."""
 
+from functools import cache
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,20 +9,24 @@ from concordat.operators import graph
 from concordat.plans import layers
 
 
-@pytest.fixture
-def plans(monkeypatch):
-    """Plans of everything that is written, as Spark makes them before it runs."""
-    seen, own = [], graph.written
+@pytest.fixture(scope="module")
+def plans():
+    """Plans of everything that is written, as Spark makes them before it runs. One run serves all."""
+    seen, own = [], (graph.written, layers.layers, layers.graph)
 
     def written(df, what):
         seen.append(df._jdf.queryExecution().executedPlan().toString())
-        return own(df, what)
+        return own[0](df, what)
+
+    graph.written, layers.layers, layers.graph = written, cache(own[1]), cache(own[2])
+    yield seen
+    graph.written, layers.layers, layers.graph = own
+
 
-    monkeypatch.setattr(graph, "written", written)
-    return seen
+NAMES = ["trace_edges", "guideline_segments"]
 
 
-@pytest.mark.parametrize("name", ["trace_edges"])
+@pytest.mark.parametrize("name", NAMES)
 def test_layered_query_broadcasts_nothing(spark, sf, plans, name):
     plans.append(layers.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
     assert not [p for p in plans if "Broadcast" in p]
