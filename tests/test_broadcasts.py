@@ -23,7 +23,7 @@ def plans():
     graph.written, layers.layers, layers.graph = own
 
 
-NAMES = ["trace_edges", "guideline_segments"]
+NAMES = ["trace_edges", "guideline_segments", "assertion_map"]
 
 
 @pytest.mark.parametrize("name", NAMES)
