@@ -23,7 +23,7 @@ def plans():
     graph.written, layers.layers, layers.graph = own
 
 
-NAMES = ["trace_edges", "guideline_segments", "assertion_map"]
+NAMES = ["trace_edges", "guideline_segments", "assertion_map", "bundle_breaks"]
 
 
 @pytest.mark.parametrize("name", NAMES)
